@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from marquee import config
-from marquee.functions.text import squeeze
+from marquee.functions.text import folded, let, squeeze
 
 _DAY = r"(3[01]|[12]\d|0?[1-9])"
 _MON = r"(1[0-2]|0?[1-9])"
@@ -29,80 +29,71 @@ def _month_number(word: Column) -> Column:
     table = {}
     for i, name in enumerate(config.MONTHS, 1):
         table[name.lower()] = table[name[:3].lower()] = str(i)
-    pairs = [F.lit(v) for kv in table.items() for v in kv]
-    return F.try_element_at(F.create_map(*pairs), word)
+    return F.try_element_at(folded(table, "map<string,string>"), word)
 
 
 def _day(year: Column, month: Column, day: Column) -> Column:
     return F.try_to_date(F.concat_ws("-", year, month, day), "yyyy-M-d")
 
 
-def _in_year(month: Column, day: Column, written: Column | None, year: int) -> Column:
-    """A date from its parts. ``written`` may be empty, two or four digits.
+def _resolve(parts: Column, year: int, dotted: bool) -> Column:
+    """Date of ``[year, month, day, shape]`` texts, where the year may be empty or have two or four digits.
 
-    A year before 2000, two digits from 69 on, or no year at all means the window's own year; without a year 29
-    February is never accepted, with one it must exist both in the written and in the window's year.
+    A year before 2000, two digits from 69 on, or no year at all means the window's own year. The day must then
+    exist in both years; without a year 29 February is never accepted. ``shape`` is the separators of a numeric
+    date, or ``w`` for a named month. Separators must agree; a yearless date may use "/" and, where allowed, ".".
     """
-    window = F.lit(str(year))
-    yearless = F.when(F.try_to_date(F.concat(F.lit("1900-"), month, F.lit("-"), day), "yyyy-M-d").isNotNull(),
-                      _day(window, month, day))
-    if written is None:
-        return yearless
-    full = (F.when(F.length(written) == 4, written)
-            .when(written >= "69", F.concat(F.lit("19"), written))
-            .otherwise(F.concat(F.lit("20"), written)))
-    own = _day(full, month, day)
-    dated = F.when(full >= "2000", own).when(own.isNotNull(), _day(window, month, day))
-    return F.when(written == "", yearless).otherwise(dated)
+    written, month, day, shape = (F.get(parts, F.lit(i)) for i in range(4))
+    shapes = ["w", "/", "//", "--"] + ([".", ".."] if dotted else [])
+    full = (F.when(written == "", "1900").when(F.length(written) == 4, written)
+            .when(written >= "69", F.concat(F.lit("19"), written)).otherwise(F.concat(F.lit("20"), written)))
+    number = F.when(shape == "w", _month_number(month)).otherwise(month)
+    bound = F.struct(full.alias("y"), number.alias("m"), day.alias("d"), shape.isin(shapes).alias("ok"))
 
+    def pick(b: Column) -> Column:
+        own = _day(b["y"], b["m"], b["d"])
+        return (F.when(~b["ok"] | b["m"].isNull(), None).when(b["y"] >= "2000", own)
+                .when(own.isNotNull(), _day(F.lit(str(year)), b["m"], b["d"])))
 
-def _shapes(text: Column, year: int, dotted: bool) -> Column:
-    def num(group: int) -> Column:
-        return F.regexp_extract(text, NUMERIC, group)
+    return let(bound, pick)
 
-    def named(group: int) -> Column:
-        return F.regexp_extract(text, NAMED, group)
 
-    # both separators must agree; a yearless numeric date may use "/" and, where allowed, "." but not "-"
-    seps = ["/", "."] if dotted else ["/"]
-    first, second = num(2), num(4)
-    sep_ok = F.when(second == "", first.isin(seps)).otherwise((first == second) & first.isin(seps + ["-"]))
-    numeric = F.when(sep_ok, _in_year(num(1), num(3), num(5), year))
-    iso = _in_year(F.regexp_extract(text, ISO_DAY, 2), F.regexp_extract(text, ISO_DAY, 3),
-                   F.regexp_extract(text, ISO_DAY, 1), year)
-    words = _in_year(_month_number(named(1)), named(2), named(3), year)
-    return (F.when(F.rlike(text, F.lit(NUMERIC)), numeric)
-            .when(F.rlike(text, F.lit(ISO_DAY)), iso)
-            .when(F.rlike(text, F.lit(NAMED)), words))
+def _shapes(text: Column, year: int, dotted: bool) -> Column:
+    """Date of a text (lower case, single blanks) that is a date in one of the layouts and nothing else."""
+    canon = (F.when(F.rlike(text, F.lit(NUMERIC)), F.regexp_replace(text, NUMERIC, "$5|$1|$3|$2$4"))
+             .when(F.rlike(text, F.lit(ISO_DAY)), F.regexp_replace(text, ISO_DAY, "$1|$2|$3|--"))
+             .when(F.rlike(text, F.lit(NAMED)), F.regexp_replace(text, NAMED, "$3|$1|$2|w")))
+    return let(F.split(canon, r"\|"), lambda parts: _resolve(parts, year, dotted))
 
 
 def _loose(text: Column, year: int) -> Column:
-    def part(group: int) -> Column:
-        return F.regexp_extract(text, LOOSE, group)
+    """Date of the first "word number [year]" in the text; the written year counts as it stands."""
+    hit = F.regexp_replace(F.regexp_extract(text, LOOSE, 0), rf"^{LOOSE}$", "$3|$1|$2")
+
+    def pick(parts: Column) -> Column:
+        written = F.get(parts, F.lit(0))
+        month = _month_number(F.get(parts, F.lit(1)))
+        day = _day(F.when(written == "", F.lit(str(year))).otherwise(written), month,
+                   F.regexp_extract(F.get(parts, F.lit(2)), rf"^{_DAY}$", 1))
+        return F.when(month.isNotNull(), day)
 
-    written = part(3)
-    return _day(F.when(written == "", F.lit(str(year))).otherwise(written), _month_number(part(1)),
-                F.regexp_extract(part(2), rf"^{_DAY}$", 1))
+    return let(F.split(hit, r"\|"), pick)
 
 
 def parse_date_text(x: Column, year: int) -> Column:
     """Date of a loosely written text, else of the first "month day [year]" inside it, else null."""
-    text = F.lower(squeeze(x))
-    return F.coalesce(_shapes(text, year, dotted=True), _loose(text, year))
+    return let(F.lower(squeeze(x)), lambda t: F.coalesce(_shapes(t, year, dotted=True), _loose(t, year)))
 
 
 def parse_sheet_date(x: Column, year: int) -> Column:
     """The spreadsheet's list of layouts: no dotted dates, nothing searched inside longer text."""
-    return _shapes(F.lower(squeeze(x)), year, dotted=False)
+    return let(F.lower(squeeze(x)), lambda t: _shapes(t, year, dotted=False))
 
 
 def iso_date(x: Column) -> Column:
     """Calendar date of an ISO text as written, whatever its offset; null when it is not ISO."""
-    def part(group: int) -> Column:
-        return F.regexp_extract(x, ISO_STAMP, group)
-
-    return F.when(F.rlike(x, F.lit(ISO_STAMP)),
-                  F.try_to_date(F.concat(part(1), F.lit("-"), part(2), part(4), F.lit("-"), part(3), part(5)), "yyyy-MM-dd"))
+    return let(x, lambda t: F.when(F.rlike(t, F.lit(ISO_STAMP)), F.try_to_date(
+        F.regexp_replace(t, ISO_STAMP, "$1-$2$4-$3$5"), "yyyy-MM-dd")))
 
 
 def iso_clock(x: Column) -> Column:
@@ -112,19 +103,19 @@ def iso_clock(x: Column) -> Column:
 
 def strict_day(x: Column) -> Column:
     """``yyyy-m-d`` and nothing else."""
-    def part(group: int) -> Column:
-        return F.regexp_extract(x, ISO_DAY, group)
-
-    return F.when(F.rlike(x, F.lit(ISO_DAY)), _day(part(1), part(2), part(3)))
+    return let(x, lambda t: F.when(F.rlike(t, F.lit(ISO_DAY)), F.try_to_date(t, "yyyy-M-d")))
 
 
 def clock(hour: Column, minute: Column) -> Column:
     """``7 PM`` / ``7:30 PM`` from 24-hour parts given as text; empty parts are zero."""
-    h = F.coalesce(hour.try_cast("int"), F.lit(0))
-    m = F.coalesce(minute.try_cast("int"), F.lit(0))
-    twelve = F.when(h % 12 == 0, F.lit(12)).otherwise(h % 12)
-    mins = F.when(m == 0, F.lit("")).otherwise(F.concat(F.lit(":"), F.lpad(m.cast("string"), 2, "0")))
-    return F.concat(twelve.cast("string"), mins, F.when(h < 12, F.lit(" AM")).otherwise(F.lit(" PM")))
+    def show(t: Column) -> Column:
+        h, m = t["h"], t["m"]
+        twelve = F.when(h % 12 == 0, F.lit(12)).otherwise(h % 12)
+        mins = F.when(m == 0, F.lit("")).otherwise(F.concat(F.lit(":"), F.lpad(m.cast("string"), 2, "0")))
+        return F.concat(twelve.cast("string"), mins, F.when(h < 12, F.lit(" AM")).otherwise(F.lit(" PM")))
+
+    return let(F.struct(F.coalesce(hour.try_cast("int"), F.lit(0)).alias("h"),
+                        F.coalesce(minute.try_cast("int"), F.lit(0)).alias("m")), show)
 
 
 def clock_text(x: Column) -> Column:

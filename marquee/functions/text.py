@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,11 +21,25 @@ ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&n
             ("&hellip;", "…"), ("&middot;", "·"), ("&bull;", "•"), ("&copy;", "©"), ("&eacute;", "é")]
 
 
+def let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(x)`` with ``x`` computed once per row, however often ``use`` refers to it.
+
+    Without it every reference is a copy of the whole expression: large plans, and repeated work wherever common
+    subexpressions are not shared (filters, branches, lambdas).
+    """
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def squeeze(x: Column) -> Column:
     """Any run of white space, Unicode spaces included, as one blank; ends trimmed."""
     return F.trim(F.regexp_replace(x, WS, " "))
 
 
+def squeeze_ends(x: Column) -> Column:
+    """Ends trimmed of any white space; the inside is left as written."""
+    return F.regexp_replace(x, r"^[\p{Z}\s]+|[\p{Z}\s]+$", "")
+
+
 def blank_to_null(x: Column) -> Column:
     return F.nullif(x, F.lit(""))
 
@@ -68,17 +85,18 @@ def html_escape(x: Column) -> Column:
 def decode_entities(x: Column) -> Column:
     """Decode numeric and common named character references; text without ``&`` is returned untouched."""
     def put(acc: Column, ref: Column) -> Column:
-        body = F.substring(ref, 3, 12)
-        digits = F.regexp_extract(body, r"^x?([0-9A-Fa-f]+)", 1)
-        code = F.when(body.startswith("x"), F.conv(digits, 16, 10)).otherwise(digits).cast("int")
-        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        return F.replace(acc, ref, char)
+        digits = F.regexp_extract(ref, r"([0-9A-Fa-f]+);", 1)
+        code = F.when(F.contains(ref, F.lit("x")), F.conv(digits, 16, 10)).otherwise(digits).cast("int")
+        return F.replace(acc, ref, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+    def decode(t: Column) -> Column:
+        refs = F.array_distinct(F.regexp_extract_all(t, F.lit(r"&#(?:x[0-9A-Fa-f]{1,5}|[0-9]{1,6});"), F.lit(0)))
+        out = F.aggregate(refs, t, put)
+        for ent, char in ENTITIES:
+            out = F.replace(out, F.lit(ent), F.lit(char))
+        return F.when(F.contains(t, F.lit("&")), F.replace(out, F.lit("&amp;"), F.lit("&"))).otherwise(t)
 
-    refs = F.array_distinct(F.regexp_extract_all(x, F.lit(r"&#(?:x[0-9A-Fa-f]{1,5}|[0-9]{1,6});"), F.lit(0)))
-    out = F.aggregate(refs, x, put)
-    for ent, char in ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(char))
-    return F.when(F.contains(x, F.lit("&")), F.replace(out, F.lit("&amp;"), F.lit("&"))).otherwise(x)
+    return let(x, decode)
 
 
 def element_text(inner: Column) -> Column:
@@ -93,11 +111,10 @@ def strip_query(url: Column) -> Column:
 
 def absolute_url(url: Column, base: str | Column | None) -> Column:
     """Keep http links; prefix ``base`` to others, or drop them when there is no base. Empty links are null."""
-    url = blank_to_null(url)
     if base is None:
-        return F.when(url.startswith("http"), url)
-    base = F.lit(base) if isinstance(base, str) else base
-    return F.when(url.startswith("http"), url).otherwise(F.concat(base, url))
+        return let(url, lambda u: F.when(u.startswith("http"), u))
+    prefix = F.lit(base) if isinstance(base, str) else base
+    return let(url, lambda u: F.when(u.startswith("http"), u).when(u != "", F.concat(prefix, u)))
 
 
 def source_label(prefix: str, note: Column, default: str) -> Column:
@@ -115,12 +132,14 @@ def suffix(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"[^./\\](\.[^./\\]*)$", 1))
 
 
+def folded(value: object, schema: str) -> Column:
+    """A nested constant: one node in the plan, folded to a literal before execution."""
+    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), schema)
+
+
 def contains_any(text: Column, literals: list[str]) -> Column:
-    """Whether ``text`` holds any of the literals: a chain of codegen'd byte searches that stops at the first hit."""
-    out = F.contains(text, F.lit(literals[0]))
-    for lit in literals[1:]:
-        out = out | F.contains(text, F.lit(lit))
-    return out
+    """Whether ``text`` holds any of the literals; stops at the first hit."""
+    return F.exists(folded(literals, "array<string>"), lambda k: F.contains(text, k))
 
 
 def display_line(artist: Column, venue: Column, time: Column) -> Column:

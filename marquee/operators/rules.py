@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marquee import config
 from marquee.config import RunParams
-from marquee.functions.text import contains_any
+from marquee.functions.text import contains_any, let
 
 
 def is_music(title: Column, category: Column | None = None, description: Column | None = None) -> Column:
@@ -20,11 +20,14 @@ def is_music(title: Column, category: Column | None = None, description: Column
     category = F.lit("") if category is None else F.coalesce(category, F.lit(""))
     description = F.lit("") if description is None else F.coalesce(description, F.lit(""))
     text = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), category, description))
-    include = contains_any(text, config.INCLUDE_KEYWORDS)
-    exclude = contains_any(text, config.EXCLUDE_KEYWORDS)
     in_category = contains_any(F.lower(category), config.CATEGORY_KEYWORDS)
-    at_venue = contains_any(text, [alias for _, alias, _ in config.venue_aliases()])
-    return include | (~exclude & (in_category | at_venue))
+
+    def judge(t: Column) -> Column:
+        at_venue = contains_any(t, [alias for _, alias, _ in config.venue_aliases()])
+        return (contains_any(t, config.INCLUDE_KEYWORDS)
+                | (~contains_any(t, config.EXCLUDE_KEYWORDS) & (in_category | at_venue)))
+
+    return let(text, judge)
 
 
 def in_window(day: Column, p: RunParams) -> Column:

@@ -10,36 +10,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee import config
-from marquee.functions.text import squeeze
+from marquee.functions.text import folded, let, squeeze_ends
 
 BROADCAST_ROWS = 50_000
 
 
 def exact_venue(name: Column, aliases: list[tuple[int, str, str]] | None = None) -> Column:
     """Canonical name when the trimmed lower-case name is an alias, else null."""
-    aliases = aliases or config.venue_aliases()
-    table = F.create_map(*[F.lit(v) for _, alias, canonical in aliases for v in (alias, canonical)])
-    return F.try_element_at(table, F.trim(F.lower(name)))
+    return _exact(squeeze_ends(F.lower(name)), aliases or config.venue_aliases())
 
 
 def contained_venue(name: Column, aliases: list[tuple[int, str, str]] | None = None) -> Column:
     """Canonical name of the first alias that holds, or is held in, the name; null when there is none."""
-    aliases = aliases or config.venue_aliases()
-    key = F.trim(F.lower(name))
-    out = None
-    for _, alias, canonical in aliases:
-        hit = F.contains(key, F.lit(alias)) | F.contains(F.lit(alias), key)
-        out = F.when(hit, F.lit(canonical)) if out is None else out.when(hit, F.lit(canonical))
-    return out
+    return let(squeeze_ends(F.lower(name)), lambda key: _contained(key, aliases or config.venue_aliases()))
 
 
 def canonical_venue(name: Column, aliases: list[tuple[int, str, str]] | None = None) -> Column:
     """Exact alias, else first containment either way, else the trimmed name. A blank name takes the first alias."""
-    return F.coalesce(exact_venue(name, aliases), contained_venue(name, aliases), squeeze_ends(name))
+    table = aliases or config.venue_aliases()
+    found = let(squeeze_ends(F.lower(name)), lambda key: F.coalesce(_exact(key, table), _contained(key, table)))
+    return F.coalesce(found, squeeze_ends(name))
 
 
-def squeeze_ends(name: Column) -> Column:
-    return F.regexp_replace(name, r"^[\p{Z}\s]+|[\p{Z}\s]+$", "")
+def _exact(key: Column, aliases: list[tuple[int, str, str]]) -> Column:
+    return F.try_element_at(folded({alias: canonical for _, alias, canonical in aliases}, "map<string,string>"), key)
+
+
+def _contained(key: Column, aliases: list[tuple[int, str, str]]) -> Column:
+    table = folded([{"a": alias, "c": canonical} for _, alias, canonical in aliases], "array<struct<a:string,c:string>>")
+    return F.get(F.filter(table, lambda t: F.contains(key, t["a"]) | F.contains(t["a"], key)), F.lit(0))["c"]
 
 
 def resolve_with_table(df: DataFrame, alias_table: DataFrame, name_col: str, out_col: str) -> DataFrame:
@@ -51,14 +50,14 @@ def resolve_with_table(df: DataFrame, alias_table: DataFrame, name_col: str, out
     if alias_table.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
         raise ValueError(f"alias table has more than {BROADCAST_ROWS} rows")
     aliases = F.broadcast(alias_table.select("alias_rank", "alias", "canonical"))
-    names = df.select(F.trim(F.lower(name_col)).alias("_key")).distinct()
+    names = df.select(squeeze_ends(F.lower(name_col)).alias("_key")).distinct()
     exact = names.join(aliases, F.col("_key") == F.col("alias"), "left")
     rest = exact.where(F.col("canonical").isNull()).select("_key")
     held = (rest.join(aliases, F.contains("_key", "alias") | F.contains("alias", "_key"))
             .groupBy("_key").agg(F.min_by("canonical", "alias_rank").alias("_hit")))
     table = (exact.where(F.col("canonical").isNotNull()).select("_key", F.col("canonical").alias("_hit"))
              .unionByName(held))
-    return (df.withColumn("_key", F.trim(F.lower(name_col))).join(table, "_key", "left")
+    return (df.withColumn("_key", squeeze_ends(F.lower(name_col))).join(table, "_key", "left")
             .withColumn(out_col, F.coalesce("_hit", squeeze_ends(F.col(name_col)))).drop("_key", "_hit"))
 
 
