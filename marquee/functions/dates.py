@@ -139,10 +139,10 @@ def build_stamp(ts: Column) -> Column:
 
 
 def local_stamp(ts: Column, zone: str = config.LOCAL_ZONE) -> Column:
-    """A UTC stamp shown in ``zone`` with the abbreviation in force on that day (CST or CDT)."""
-    local = F.from_utc_timestamp(ts, zone)
-    offset_hours = (F.unix_seconds(ts) - F.unix_seconds(local)) / 3600
-    abbr = F.when(offset_hours == 5, F.lit("CDT")).otherwise(F.lit("CST"))
+    """A naive UTC stamp shown in ``zone`` with the abbreviation in force on that day (CST or CDT)."""
+    utc = ts.cast("timestamp_ntz")
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
+    abbr = F.when(F.timestamp_diff("HOUR", local, utc) == 5, F.lit("CDT")).otherwise(F.lit("CST"))
     return F.concat(F.date_format(local, "MMMM d, yyyy"), F.lit(" at "), F.date_format(local, "h:mm a"), F.lit(" "), abbr)
 
 

@@ -135,5 +135,5 @@ def rss_feed(deduped: DataFrame, title: str, link: str) -> DataFrame:
 
 def stamps(p: RunParams, spark) -> DataFrame:
     """The two stamps of a run. The page converts the UTC time to local time, the plain stamp does not."""
-    ts = F.lit(p.run_ts).cast("timestamp")
+    ts = F.lit(p.run_ts).cast("timestamp_ntz")
     return spark.range(1).select(local_stamp(ts).alias("page_stamp"), build_stamp(ts).alias("build_stamp"))
