@@ -91,9 +91,8 @@ def decode_entities(x: Column) -> Column:
 
     def decode(t: Column) -> Column:
         refs = F.array_distinct(F.regexp_extract_all(t, F.lit(r"&#(?:x[0-9A-Fa-f]{1,5}|[0-9]{1,6});"), F.lit(0)))
-        out = F.aggregate(refs, t, put)
-        for ent, char in ENTITIES:
-            out = F.replace(out, F.lit(ent), F.lit(char))
+        named = folded([{"e": ent, "c": char} for ent, char in ENTITIES], "array<struct<e:string,c:string>>")
+        out = F.aggregate(named, F.aggregate(refs, t, put), lambda acc, n: F.replace(acc, n["e"], n["c"]))
         return F.when(F.contains(t, F.lit("&")), F.replace(out, F.lit("&amp;"), F.lit("&"))).otherwise(t)
 
     return let(x, decode)

@@ -75,7 +75,7 @@ def _survivors(d: DataFrame) -> DataFrame:
 def listing_dedup(spark, sf):
     """Flagship: windowed listings deduplicated and put in publishing order."""
     listing = documents_listing(spark, sf).where(rules.in_window(F.col("date"), P))
-    return _survivors(dedup.publish_order(dedup.deduplicate(listing)))
+    return _survivors(dedup.published(listing))
 
 
 @query
