@@ -19,11 +19,14 @@ _GLOB = "*.{" + ",".join(s[1:] + "," + s[1:].upper() for s in config.IMAGE_SUFFI
 
 
 def list_artifacts(spark: SparkSession, path: str) -> DataFrame:
-    """Supported files of a folder, one row per path: origin, name, suffix, length, modified, content."""
+    """Supported files of a folder: origin, name, suffix, length, modified, content.
+
+    One listing under one pattern names each path once, so no distinct (a shuffle of the contents) is needed.
+    """
     f = spark.read.format("binaryFile").option("pathGlobFilter", _GLOB).load(path)
     name = F.element_at(F.split("path", "/"), -1)
     return f.select(F.col("path").alias("origin"), name.alias("name"), text.suffix(name).alias("suffix"), "length",
-                    F.col("modificationTime").alias("modified"), "content").dropDuplicates(["origin"])
+                    F.col("modificationTime").alias("modified"), "content")
 
 
 def _first_html_part(raw: bytes) -> str:
