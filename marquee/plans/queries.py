@@ -14,6 +14,7 @@ from marquee.functions import dates, markup, text
 from marquee.operators import audit, dedup, fallback, intake, overrides, rules, venues
 from marquee.plans import publish
 from marquee.sources import api, artifacts, pages, runlog, sheet
+from marquee.session import spread
 from marquee.sources import venues as calendars
 
 P = RunParams(datetime.date(2026, 2, 15), 7, "2026-02-15 05:58:42")
@@ -28,8 +29,9 @@ def query(f: Query) -> Query:
     return f
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+def table(spark: SparkSession, sf: str, name: str, heavy: bool = False) -> DataFrame:
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if heavy else df
 
 
 def _plus(n: Column) -> Column:
@@ -109,7 +111,7 @@ def detail_score(spark, sf):
 
 @query
 def text_normalize(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", text.identity_norm(F.col("text")).alias("i"), text.match_norm(F.col("text")).alias("m"))
+    d = table(spark, sf, "documents", heavy=True).select("doc_id", text.identity_norm(F.col("text")).alias("i"), text.match_norm(F.col("text")).alias("m"))
     return d.select("doc_id", F.md5("i").alias("identity_md5"), F.md5("m").alias("match_md5"), F.size(text.words(F.col("m"))).alias("n_words"))
 
 
@@ -124,7 +126,7 @@ DATE_LAYOUTS = ["MMM d, yyyy", "MMMM d, yyyy", "MMM d", "M/d/yyyy", "MM/dd/yy",
 
 
 def _loose_dates(spark, sf) -> DataFrame:
-    d = table(spark, sf, "orders").withColumn("layout", (F.col("o_orderkey") % len(DATE_LAYOUTS)).cast("int"))
+    d = table(spark, sf, "orders", heavy=True).withColumn("layout", (F.col("o_orderkey") % len(DATE_LAYOUTS)).cast("int"))
     shown = F
     for i, layout in enumerate(DATE_LAYOUTS):
         shown = shown.when(F.col("layout") == i, F.date_format("o_orderdate", layout))
@@ -143,7 +145,7 @@ def sheet_date_parse(spark, sf):
 
 @query
 def iso_parse(spark, sf):
-    e = table(spark, sf, "events")
+    e = table(spark, sf, "events", heavy=True)
     k = F.col("event_id") % 5
     shown = (F.when(k == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'-06:00'")).when(k == 1, F.date_format("ts", "yyyy-MM-dd'T'HH:mm'Z'"))
              .when(k == 2, F.date_format("ts", "yyyy-MM-dd")).when(k == 3, F.date_format("ts", "yyyyMMdd'T'HHmmss"))
@@ -195,7 +197,7 @@ def radius_filter(spark, sf):
 
 
 def _venue_names(spark, sf) -> DataFrame:
-    d = table(spark, sf, "orders")
+    d = table(spark, sf, "orders", heavy=True)
     k = F.col("o_orderkey")
     alias = _pick(ALIASES, F.floor(k / 5))
     shown = (F.when(k % 5 == 0, F.upper(alias)).when(k % 5 == 1, F.concat(F.lit("  "), alias, F.lit(" ")))
@@ -233,7 +235,7 @@ def rule_classify(spark, sf):
 
 @query
 def rule_classify_documents(spark, sf):
-    d = table(spark, sf, "documents")
+    d = table(spark, sf, "documents", heavy=True)
     return d.select("doc_id", rules.is_music(F.col("text"), F.lit("music")).alias("with_category"), rules.is_music(F.col("text")).alias("plain"))
 
 
@@ -388,7 +390,7 @@ def json_path(spark, sf):
 @query
 def json_walk(spark, sf):
     """All values of a nested document built around each event's properties, with their place in the walk."""
-    e = table(spark, sf, "events")
+    e = table(spark, sf, "events", heavy=True)
     doc = F.concat(F.lit('{"a":['), F.col("props"), F.lit(","), F.col("event_id"), F.lit('],"b":{"c":'), F.col("props"), F.lit("}}"))
     nodes = e.select("event_id", F.posexplode(pages.walk_json(F.try_parse_json(doc))).alias("n", "node"))
     return nodes.select("event_id", "n", F.try_variant_get("node.v", "$", "string").alias("value"))
@@ -397,7 +399,7 @@ def json_walk(spark, sf):
 @query
 def model_responses(spark, sf):
     """Free-text answers holding a JSON array, built from whole conversation turns."""
-    c = table(spark, sf, "conversations")
+    c = table(spark, sf, "conversations", heavy=True)
     k = F.col("conv_id") + F.col("turn")
     body = F.concat(F.lit("Here is what I found: "), F.to_json(F.array(
         F.struct(F.col("text").alias("artist"), F.lit("the hi-tone").alias("venue"), F.date_format(_plus(k % 12), "M/d/yyyy").alias("date"),
@@ -414,7 +416,7 @@ def model_responses(spark, sf):
 
 @query
 def api_ticketing(spark, sf):
-    d = table(spark, sf, "orders")
+    d = table(spark, sf, "orders", heavy=True)
     k = F.col("o_orderkey")
     def event(name: Column, day: Column, time: Column, venue: Column) -> Column:
         return F.struct(name.alias("name"), F.concat(F.lit("http://t/"), k).alias("url"),
@@ -431,7 +433,7 @@ def api_ticketing(spark, sf):
 
 @query
 def api_second(spark, sf):
-    d = table(spark, sf, "documents")
+    d = table(spark, sf, "documents", heavy=True)
     k = F.col("doc_id")
     event = F.struct(
         F.struct(F.when(k % 9 != 0, F.concat(F.lit("Doc "), k)).otherwise(F.lit(" ")).alias("text")).alias("name"),
@@ -447,7 +449,7 @@ def api_second(spark, sf):
 @query
 def sheet_rows(spark, sf):
     """CSV records of five shapes: plain, short, too long, quoted, sparse."""
-    d = table(spark, sf, "orders")
+    d = table(spark, sf, "orders", heavy=True)
     k = F.col("o_orderkey")
     day = F.date_format(_plus(k % 12), "M/d/yyyy")
     line = (F.when(k % 5 == 0, F.concat(day, F.lit(",Act "), k, F.lit(",the shell,9 PM,flyer")))
@@ -471,7 +473,7 @@ def archive_decode(spark, sf):
 
 def titled_pages(spark, sf) -> DataFrame:
     """Whole pages with a card and a structured-data block made of their own title and address added."""
-    d = table(spark, sf, "pages")
+    d = table(spark, sf, "pages", heavy=True)
     raw = F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)
     day = F.date_format(_plus(F.col("page_id") % 12), "yyyy-MM-dd")
     return d.select("page_id", "url", "html", raw.alias("raw_title"), day.alias("day"))
@@ -510,7 +512,7 @@ PROFILE_KINDS = ["hi_tone", "minglewood", "hernandos", "artifact", "marketplace"
 @query
 def page_profiles(spark, sf):
     """Every page profile: a page per part in the layout its number picks, with a decoy card that must not count."""
-    d = table(spark, sf, "part")
+    d = table(spark, sf, "part", heavy=True)
     k = F.col("p_partkey")
     day = F.date_format(_plus(F.col("p_size") % 12), "MMM d")
     name = F.concat(F.lit("Act "), F.col("p_name"), F.lit(" "), k)

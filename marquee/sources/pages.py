@@ -123,10 +123,11 @@ def walk_json(root: Column, depth: int = 10) -> Column:
         nxt = F.flatten(F.transform(a["edge"], children))
         return F.struct(F.concat(a["seen"], nxt).alias("seen"), nxt.alias("edge"))
 
-    seen = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), acc, down)["seen"]
-    order = F.array_sort(F.transform(seen, lambda n: n["path"]))
-    by_path = F.map_from_entries(F.transform(seen, lambda n: F.struct(n["path"], n["v"])))
-    return F.transform(order, lambda p: F.struct(p.alias("path"), F.try_element_at(by_path, p).alias("v")))
+    def in_order(seen: Column) -> Column:
+        keys = F.array_sort(F.transform(seen, lambda n, i: F.struct(n["path"].alias("path"), i.alias("i"))))
+        return F.transform(keys, lambda k: F.get(seen, k["i"]))
+
+    return text.let(F.aggregate(F.sequence(F.lit(1), F.lit(depth)), acc, down)["seen"], in_order)
 
 
 def page_state_events(html: Column) -> Column:
