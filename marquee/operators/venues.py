@@ -11,10 +11,6 @@ from pyspark.sql import functions as F
 
 from marquee import config
 from marquee.functions.text import folded, let, squeeze_ends
-
-BROADCAST_ROWS = 50_000
-
-
 def exact_venue(name: Column, aliases: list[tuple[int, str, str]] | None = None) -> Column:
     """Canonical name when the trimmed lower-case name is an alias, else null."""
     return _exact(squeeze_ends(F.lower(name)), aliases or config.venue_aliases())
@@ -42,25 +38,41 @@ def _contained(key: Column, aliases: list[tuple[int, str, str]]) -> Column:
 
 
 def resolve_with_table(df: DataFrame, alias_table: DataFrame, name_col: str, out_col: str) -> DataFrame:
-    """The same lookup against an alias table ``(alias_rank, alias, canonical)``.
+    """The same lookup against an alias table ``(alias_rank, alias, canonical)`` of any size.
 
-    Exact names are an equi-join. Only distinct names left over meet the aliases, and the aliases are broadcast
-    for that only after their number is checked; a larger table must be cut down or indexed by the caller.
+    Exact names are an equi-join. Only distinct names left over are searched for containment, and that too is an
+    equi-join: a text inside another shares its own first three characters with it, so the shorter side is keyed by
+    those and the longer side by all its substrings of that length. Nothing is compared with every alias.
     """
-    if alias_table.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        raise ValueError(f"alias table has more than {BROADCAST_ROWS} rows")
-    aliases = F.broadcast(alias_table.select("alias_rank", "alias", "canonical"))
-    names = df.select(squeeze_ends(F.lower(name_col)).alias("_key")).distinct()
+    key = squeeze_ends(F.lower(name_col))
+    aliases = alias_table.select("alias_rank", "alias", "canonical")
+    names = df.select(key.alias("_key")).distinct()
     exact = names.join(aliases, F.col("_key") == F.col("alias"), "left")
     rest = exact.where(F.col("canonical").isNull()).select("_key")
-    held = (rest.join(aliases, F.contains("_key", "alias") | F.contains("alias", "_key"))
+    in_name = (rest.select("_key", F.explode(substrings(F.col("_key"))).alias("gram"))
+               .join(aliases.withColumn("gram", first_gram(F.col("alias"))), "gram").where(F.contains("_key", "alias")))
+    in_alias = (rest.withColumn("gram", first_gram(F.col("_key")))
+                .join(aliases.select("*", F.explode(substrings(F.col("alias"))).alias("gram")), "gram").where(F.contains("alias", "_key")))
+    held = (in_name.select("_key", "canonical", "alias_rank").unionByName(in_alias.select("_key", "canonical", "alias_rank"))
             .groupBy("_key").agg(F.min_by("canonical", "alias_rank").alias("_hit")))
     table = (exact.where(F.col("canonical").isNotNull()).select("_key", F.col("canonical").alias("_hit"))
              .unionByName(held))
-    return (df.withColumn("_key", squeeze_ends(F.lower(name_col))).join(table, "_key", "left")
+    return (df.withColumn("_key", key).join(table, "_key", "left")
             .withColumn(out_col, F.coalesce("_hit", squeeze_ends(F.col(name_col)))).drop("_key", "_hit"))
 
 
+def first_gram(x: Column) -> Column:
+    """First three characters; a shorter text stands for itself."""
+    return F.substring(x, 1, 3)
+
+
+def substrings(x: Column) -> Column:
+    """Distinct substrings of up to three characters, the empty one included."""
+    spots = F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1)))
+    return F.array_distinct(F.flatten(F.transform(spots, lambda i: F.transform(
+        F.sequence(F.lit(0), F.lit(3)), lambda n: F.substr(x, i, n)))))
+
+
 def venue_or_tba(name: Column) -> Column:
     """Canonical venue of a non-empty name, else the placeholder."""
     return F.when(F.length(name) > 0, canonical_venue(name)).otherwise(F.lit(config.VENUE_TBA))

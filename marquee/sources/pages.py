@@ -6,6 +6,8 @@ that yields needs no shuffle; the plan is a scan, a broadcast of the profile dim
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from marquee.config import RunParams
 from marquee.functions import dates, markup, text
 from marquee.operators.rules import in_window, is_music
 from marquee.operators.venues import canonical_venue, venue_or_tba
-from marquee.sources.profiles import profile_dim
+from marquee.sources.profiles import PROFILE_FIELDS, profile_dim
 
 EVENT = "struct<artist:string,venue:string,date:date,time:string,url:string>"
 EVENT_TYPES = ["Event", "MusicEvent"]
@@ -223,24 +225,32 @@ def card_events(html: Column, p: dict[str, Column], fixed_venue: Column, year: i
     return F.transform(F.filter(built, lambda e: e["rank"] == best), lambda e: e["event"])
 
 
+@lru_cache(maxsize=16)
+def _attempts(application: str, year: int) -> tuple[Column, Column, Column, Column]:
+    """The four attempts as expressions over html, page_venue and the profile's columns, each run only where those
+    before it found nothing. Built once per session and year, since they are large."""
+    html = F.col("html")
+    cols = {f: F.col(f) for f in PROFILE_FIELDS}
+    city = F.when(cols["saved_city"], saved_city_events(html, year)).otherwise(_no_events())
+    ld = F.when(cols["jsonld"] & (F.size("_city") == 0), jsonld_events(
+        html, F.when(cols["fixed_venue"], F.col("page_venue")), cols["jsonld_graph"], cols["jsonld_date_time"])).otherwise(_no_events())
+    state = F.when(cols["page_state"] & (F.size("_ld") == 0), page_state_events(html)).otherwise(_no_events())
+    cards = F.when((F.size("_city") + F.size("_ld") + F.size("_state")) == 0,
+                   card_events(html, cols, F.col("page_venue"), year)).otherwise(_no_events())
+    return city, ld, state, cards
+
+
 def page_events(pages: DataFrame, year: int) -> DataFrame:
     """``pages`` (kind, html, page_venue and any lineage) with ``events``, the array found by the page's profile.
 
     Order of attempts: saved city page, structured data, page state, cards; each only where the profile uses it.
     """
+    spark = pages.sparkSession
     lineage = pages.columns
-    p = profile_dim(pages.sparkSession)
-    x = pages.join(F.broadcast(p.withColumnRenamed("kind", "_kind")), F.col("kind") == F.col("_kind"))
-    cols = {c: F.col(c) for c in p.columns if c != "kind"}
-    html = F.col("html")
-    x = x.withColumn("_city", F.when(cols["saved_city"], saved_city_events(html, year)).otherwise(_no_events()))
-    x = x.withColumn("_ld", F.when(cols["jsonld"] & (F.size("_city") == 0), jsonld_events(
-        html, F.when(cols["fixed_venue"], F.col("page_venue")), cols["jsonld_graph"], cols["jsonld_date_time"]))
-        .otherwise(_no_events()))
-    x = x.withColumn("_state", F.when(cols["page_state"] & (F.size("_ld") == 0), page_state_events(html))
-                     .otherwise(_no_events()))
-    x = x.withColumn("_card", F.when((F.size("_city") + F.size("_ld") + F.size("_state")) == 0,
-                                     card_events(html, cols, F.col("page_venue"), year)).otherwise(_no_events()))
+    city, ld, state, cards = _attempts(spark.sparkContext.applicationId, year)
+    p = profile_dim(spark).withColumnRenamed("kind", "_kind")
+    x = pages.join(F.broadcast(p), F.col("kind") == F.col("_kind"))
+    x = x.withColumn("_city", city).withColumn("_ld", ld).withColumn("_state", state).withColumn("_card", cards)
     found = (F.when(F.size("_city") > 0, F.col("_city")).when(F.size("_ld") > 0, F.col("_ld"))
              .when(F.size("_state") > 0, F.col("_state")).otherwise(F.col("_card")))
     city = F.size("_city") > 0

@@ -109,4 +109,5 @@ def profile_dim(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(profiles(), SCHEMA)
 
 
+PROFILE_FIELDS = [f for f in profiles()[0] if f != "kind"]
 SITE_PROFILES = ["hi_tone", "minglewood", "hernandos"]

@@ -163,3 +163,16 @@ def test_incremental_equals_whole(spark, tmp_path):
     again = spark.createDataFrame([{**r, "date": datetime.date.fromisoformat(r["date"])} for r in rows[20:]], LISTING)
     stream.apply_batch(again, 0, store, P)  # a repeated batch changes nothing
     assert got == sorted(r.pos for r in spark.read.parquet(store.published).select("pos").collect())
+
+
+def test_rss_document(spark):
+    import xml.etree.ElementTree as ET
+
+    from marquee.plans import publish
+    rows = [("B & C", "bar", datetime.date(2026, 2, 17), None, None, 0), ("A", "Shell", datetime.date(2026, 2, 16), "7 PM", "http://x?a=1&b=2", 0)]
+    df = spark.createDataFrame(rows, "artist string, venue string, date date, time string, url string, slot long")
+    doc = "".join(r.line for r in publish.rss_feed(df, "Shows <now>", "http://s").collect())
+    channel = ET.fromstring(doc.split("?>", 1)[1]).find("channel")
+    assert channel.find("title").text == "Shows <now>"
+    assert [i.find("title").text for i in channel.findall("item")] == ["A — Shell (7 PM)", "B & C — bar"]
+    assert [getattr(i.find("link"), "text", None) for i in channel.findall("item")] == ["http://x?a=1&b=2", None]
