@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,6 +37,11 @@ def in_window(day: Column, p: RunParams) -> Column:
     return day.between(F.lit(p.anchor_date), F.lit(p.end_date))
 
 
+def stamp_in_window(ts: Column, p: RunParams) -> Column:
+    """The same window over a time stamp, as a plain range: a cast to date would keep it out of the file scan."""
+    return (ts >= F.lit(p.anchor_date)) & (ts < F.lit(p.end_date + timedelta(days=1)))
+
+
 def miles_between(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle distance in miles."""
     half_lat = F.sin(F.radians(lat2 - lat1) / 2)

@@ -183,7 +183,7 @@ def split_day_time(spark, sf):
 def window_filter(spark, sf):
     d = table(spark, sf, "orders")
     p = RunParams(datetime.date(1998, 10, 1))
-    return d.where(rules.in_window(F.col("o_orderdate").cast("date"), p)).select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
+    return d.where(rules.stamp_in_window(F.col("o_orderdate"), p)).select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
 
 
 @query
@@ -284,7 +284,7 @@ def event_audit(spark, sf) -> DataFrame:
     e = table(spark, sf, "events")
     src = spark.createDataFrame(EVENT_SOURCES, audit.SOURCE_DIM)
     rank = F.element_at(text.folded({s[0]: s[1] for s in EVENT_SOURCES}, "map<string,int>"), F.col("event_type"))
-    inside = rules.in_window(F.col("ts").cast("date"), AUDIT_WINDOW)
+    inside = rules.stamp_in_window(F.col("ts"), AUDIT_WINDOW)
     staged = e.select(rank.alias("source_rank"), F.lit(True).alias("found"), inside.alias("kept"), (~inside & (F.col("value") > 20)).alias("filtered"))
     return audit.source_audit(staged, F.broadcast(src), F.lit(AUDIT_WINDOW.run_ts))
 
@@ -328,7 +328,7 @@ def run_totals(spark, sf):
 @query
 def health_history(spark, sf):
     e = table(spark, sf, "events")
-    runs = e.groupBy(F.col("event_type").alias("source_name"), F.date_trunc("day", "ts").alias("run_ts")).agg(
+    runs = e.groupBy(F.col("event_type").alias("source_name"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("run_ts")).agg(
         F.count("*").alias("events_after_filter"), (F.count("*") % 3 != 0).alias("success"))
     return audit.health_history(runs)
 
@@ -423,7 +423,7 @@ def api_ticketing(spark, sf):
                         F.struct(F.struct(day.alias("localDate"), time.alias("localTime")).alias("start")).alias("dates"),
                         F.struct(F.array(F.struct(venue.alias("name"))).alias("venues")).alias("_embedded"))
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
-    events = F.array(event(F.concat(F.lit(" Order "), k), day, F.date_format(F.timestamp_seconds(k * 61), "HH:mm:ss"), F.lit("Growlers")),
+    events = F.array(event(F.concat(F.lit(" Order "), k), day, F.format_string("%02d:%02d:%02d", F.floor(k * 61 / 3600) % 24, F.floor(k * 61 / 60) % 60, k * 61 % 60), F.lit("Growlers")),
                      event(_pick(["", "Trivia Night", "Jazz Trivia", "Coldplay"], k), day, F.lit("late"), F.col("o_orderpriority")),
                      event(F.lit("No date"), F.when(k % 2 == 0, "soon"), F.lit(None).cast("string"), F.lit(None).cast("string")))
     body = F.to_json(F.struct(F.struct(events.alias("events")).alias("_embedded")))
@@ -625,7 +625,7 @@ def intake_rejections(spark, sf):
 @query
 def retention(spark, sf):
     e = table(spark, sf, "events").select("event_id", F.col("ts").alias("modified"))
-    return intake.retained(e, F.lit("2024-01-30 12:00:00").cast("timestamp")).select("event_id")
+    return intake.retained(e, F.lit("2024-01-30 12:00:00").cast("timestamp_ntz")).select("event_id")
 
 
 @query
