@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.llm import bpe, simhash, tiling, toxicity, wordpiece
+from marquee.llm import bpe, pii, simhash, tiling, toxicity, wordpiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": bpe.op2,
     "op3_simhash": simhash.op3,
+    "op4_personal_data": pii.op4,
     "op6_token_counts": wordpiece.op6,
     "op8_toxicity": toxicity.op8,
     "op9_decontamination": tiling.op9,
