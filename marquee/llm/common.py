@@ -59,7 +59,7 @@ def ranked(df: DataFrame, *order: Column, name: str = "rank", parts: int | None
     there are shuffle partitions) turns positions in a range into positions overall. The ranges are cut off in the
     checkpoint folder, so that both uses see the same ones. Equal rows get any order among themselves.
     """
-    pid, at, start = (fresh(df, x) for x in ("_pid", "_at", "_start"))
+    pid, at, start = (fresh(df, x) for x in ("_rank_pid", "_rank_at", "_rank_start"))
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
                 .withColumn(at, F.monotonically_increasing_id())

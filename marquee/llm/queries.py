@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.llm import bpe, pii, simhash, tiling, toxicity, wordpiece
+from marquee.llm import bpe, edit_sketch, hilbert, pii, simhash, tiling, toxicity, urls, wordpiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_order_minhash": edit_sketch.op1,
     "op2_byte_bpe": bpe.op2,
     "op3_simhash": simhash.op3,
     "op4_personal_data": pii.op4,
+    "op5_url_filters": urls.op5,
     "op6_token_counts": wordpiece.op6,
     "op8_toxicity": toxicity.op8,
     "op9_decontamination": tiling.op9,
+    "op10_hilbert_shards": hilbert.op10,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_url_filters": urls.ORACLE}
