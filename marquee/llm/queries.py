@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.llm import bpe, edit_sketch, hilbert, pii, simhash, tiling, toxicity, urls, wordpiece
+from marquee.llm import bpe, edit_sketch, hilbert, katz, pii, simhash, tiling, toxicity, urls, wordpiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_order_minhash": edit_sketch.op1,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_personal_data": pii.op4,
     "op5_url_filters": urls.op5,
     "op6_token_counts": wordpiece.op6,
+    "op7_katz": katz.op7,
     "op8_toxicity": toxicity.op8,
     "op9_decontamination": tiling.op9,
     "op10_hilbert_shards": hilbert.op10,
