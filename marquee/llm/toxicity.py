@@ -2,7 +2,7 @@
 
 Many voters look at a text: lexicon voters (does it hold a word, or a word with a certain beginning) and pattern voters (shouting,
 exclamation marks, second person, several lexicon hits, none at all). A generative model with a hidden class estimates how often each
-voter fires in either class, by expectation maximisation, and how voters are correlated inside the classes; a voter that mostly repeats others
+voter, the given label among them, fires in either class, by expectation maximisation, and how voters are correlated inside the classes; a voter that mostly repeats others
 counts for less. The posterior labels train a linear classifier over the voters, whose score is then set on the scale of the given
 labels.
 
@@ -74,18 +74,19 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[votes].sum(), -40, 40))))
 
 
-def label_model(v: np.ndarray, hits: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
+def label_model(v: np.ndarray, anchor: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of class 1 for each row of the vote matrix, and the voters' weights for correlation.
 
-    Starts from the rows on which lexicon voters agree; each round estimates the voters' rates in either class, then the posteriors. The
-    correlations inside the classes are taken from the posteriors after a third and two thirds of the rounds.
+    ``anchor`` is one more voter, the given label, of unknown accuracy as all of them; it keeps its weight and, nearly believed, is the start, so
+    that the hidden class stays what the labels mean rather than what most copies of a voter say. Each round estimates the voters' rates in either class, then the posteriors. The
+    correlations inside the classes are taken from the posteriors at the start, after a third and after two thirds of the rounds.
     """
-    post = np.where(hits >= 2, 0.95, np.where(hits == 1, 0.5, 0.02))
-    weight = np.ones(v.shape[1])
+    v = np.hstack([v, anchor[:, None]])
+    post, weight = 0.03 + 0.92 * anchor, np.ones(v.shape[1])
     for k in range(rounds):
         a, b = post.sum() + 2, (1 - post).sum() + 2
         r1, r0 = (post @ v + 0.5) / a, ((1 - post) @ v + 0.5) / b
-        if k in (rounds // 3, 2 * rounds // 3):
+        if k in (0, rounds // 3, 2 * rounds // 3):  # at once: copies would else become the hidden class
             total = np.zeros((v.shape[1], v.shape[1]))
             for p, r in ((post, r1), (1 - post, r0)):
                 c = (v - r) * np.sqrt(p)[:, None]
@@ -93,10 +94,11 @@ def label_model(v: np.ndarray, hits: np.ndarray, rounds: int = 25) -> tuple[np.n
                 d = np.sqrt(np.maximum(cov.diagonal(), 1e-9))
                 total = np.maximum(total, np.clip(cov / d / d[:, None], 0, 1))
             weight = 1 / np.maximum(1, total.sum(axis=1))
+            weight[-1] = 1
         on, off = np.log(r1 / r0) * weight, np.log((1 - r1) / (1 - r0)) * weight
         x = v @ (on - off) + off.sum() + np.log(a / b)
         post = 1 / (1 + np.exp(-np.clip(x, -40, 40)))
-    return post, weight
+    return post, weight[:-1]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 30) -> tuple[np.ndarray, float]:
@@ -162,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     for i, (fired, _) in enumerate(got):
         v[i, list(fired)] = 1
     y = np.array([t for _, t in got], float)
-    post, _ = label_model(v, v[:, : len(terms)].sum(axis=1))
+    post, _ = label_model(v, y)
     w, b = logistic(v, post, 1.0)
     scale, shift = logistic((v @ w + b)[:, None], y, 1e-3)  # on the scale of the labels
     return Model(terms, w * scale[0], b * scale[0] + shift)
