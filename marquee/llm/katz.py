@@ -36,7 +36,7 @@ from marquee.llm.common import in_batches, remainder, rows_of, table, texts
 
 FOLDS, HELD_OUT = 7, 2
 TOP = 5
-CHUNK_TOKENS = 4_000_000
+CHUNK_TOKENS = 2_500_000
 END, START = (xxhash.xxh64_intdigest(x, 7) for x in (b"end", b"start"))
 CHUNK = "chunk long, doc_id array<long>, held array<boolean>, size array<int>, words binary, tokens binary"
 ASKED = "bucket int, chunk long, kind int, keys binary, vals binary"

@@ -71,7 +71,8 @@ class Model:
         return [*found, *(n + i for i, x in enumerate(fired) if x)]
 
     def score(self, votes: list[int]) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[votes].sum(), -40, 40))))
+        x = self.bias + self.weights[votes].sum()
+        return float(1 / (1 + np.exp(-min(x, 40.0)))) if x > -700 else 0.0
 
 
 def label_model(v: np.ndarray, anchor: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
