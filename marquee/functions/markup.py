@@ -1,5 +1,5 @@
-"""Patterns over raw page text. No document tree is built: elements are found by their opening tag and end at the
-first closing tag of the same name; cards end at their own balanced closing tag or at the next card.
+"""Patterns over raw page text, for what needs no document tree: embedded scripts, and the links of saved pages. Each runs in time and stack
+that do not depend on how long a stretch of text is: no repeated group, possessive runs.
 """
 
 from __future__ import annotations
@@ -7,56 +7,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marquee.functions.text import blank_to_null, decode_entities, element_text, let
-
-# What may follow "<". Each helper gives one alternative; class and attribute values are case sensitive.
-_NAME = r"(?i:[a-z][a-z0-9]*)"
-_CLASS = r"\s(?i:class)\s*=\s*[\"']"
-
-
-def tag(*names: str) -> str:
-    return rf"(?i:{'|'.join(names)})(?=[\s/>])"
-
-
-def has_class(*tokens: str, name: str = _NAME) -> str:
-    """Element with all the class tokens."""
-    looks = "".join(rf"(?=(?:[^\"']*\s)?{t}(?:[\s\"']))" for t in tokens)
-    return rf"{name}\b[^>]*{_CLASS}{looks}"
-
-
-def class_has(part: str, name: str = _NAME) -> str:
-    """Element whose class attribute contains ``part`` anywhere."""
-    return rf"{name}\b[^>]*{_CLASS}[^\"']*{part}"
-
-
-def attr_has(attr: str, part: str = "", name: str = _NAME) -> str:
-    return rf"{name}\b[^>]*\s(?i:{attr})\s*=\s*[\"'][^\"']*{part}"
-
-
-def cards_at(*alternatives: str) -> str:
-    """Split pattern: just before an opening tag of any of the alternatives."""
-    return rf"(?=<(?:{'|'.join(alternatives)}))"
-
-
-def element(*alternatives: str) -> str:
-    """First element of any alternative; groups: name, attributes, inner markup."""
-    return rf"(?s)<(?={'|'.join(alternatives)})({_NAME})\b([^>]*)>(.*?)</\1\s*>"
-
-
-def anchor_in(*containers: str) -> str:
-    """First link inside any of the containers; groups as ``element``."""
-    return rf"(?s)<(?:{'|'.join(containers)})[^>]*>[^<]*(?:<(?!(?i:a)\b)[^>]*>[^<]*)*?<((?i:a))\b([^>]*)>(.*?)</(?i:a)\s*>"
-
+from marquee.functions.text import blank_to_null, decode_entities
 
 SCRIPT_JSONLD = r"(?is)<script\b[^>]*type\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"
 SCRIPT_STATE = r"(?s)<script id=\"__NEXT_DATA__\"[^>]*>(.*?)</script>"
-ANY_HREF = r"(?is)<a\b[^>]*?\shref\s*=\s*[\"']([^\"']*)[\"']"
-EVENT_HREF = r"(?is)<a\b[^>]*?\shref\s*=\s*[\"']([^\"']*/event/[^\"']*)[\"']"
-
-
-def extract(x: Column, pattern: Column, group: int) -> Column:
-    """``regexp_extract`` with a pattern that comes from a column."""
-    return F.call_function("regexp_extract", x, pattern, F.lit(group))
 
 
 def attribute(attrs: Column, name: str) -> Column:
@@ -65,38 +19,6 @@ def attribute(attrs: Column, name: str) -> Column:
     return blank_to_null(decode_entities(F.regexp_extract(attrs, pattern, 1)))
 
 
-def first_link(markup: Column, pattern: str | Column) -> Column:
-    """Decoded link of the first match of ``pattern``; null when there is none."""
-    p = F.lit(pattern) if isinstance(pattern, str) else pattern
-    return blank_to_null(decode_entities(extract(markup, p, 1)))
-
-
-def balanced(card: Column) -> Column:
-    """``card`` (text that starts at an opening tag) up to the closing tag that balances it, if it has one."""
-    name = F.lower(F.regexp_extract(card, rf"^<({_NAME})", 1))
-    parts = F.split(card, F.concat(F.lit(r"(?i)(?=</?"), name, F.lit(r"[\s>])")))
-    zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("read"), F.lit(0).alias("end"))
-
-    def step(acc: Column, part: Column) -> Column:
-        change = F.when(part.startswith("</"), -1).when(part.startswith("<"), 1).otherwise(0)
-        depth, read = acc["depth"] + change, acc["read"] + 1
-        ends = (acc["end"] == 0) & (change == -1) & (depth == 0)
-        return F.struct(depth.alias("depth"), read.alias("read"), F.when(ends, read).otherwise(acc["end"]).alias("end"))
-
-    def keep(ps: Column) -> Column:
-        return let(F.aggregate(ps, zero, step)["end"],
-                   lambda end: F.array_join(F.when(end > 0, F.slice(ps, F.lit(1), end - 1)).otherwise(ps), ""))
-
-    return let(parts, keep)
-
-
-def cut_cards(page: Column, pattern: Column) -> Column:
-    """Cards of a page: pieces between markers, each ended at its own closing tag."""
-    pieces = F.split(page, pattern)
-    marked = F.filter(pieces, lambda p: F.rlike(p, F.concat(F.lit("^"), pattern)))
-    return F.transform(marked, balanced)
-
-
 def own_tag(card: Column) -> Column:
     return F.regexp_extract(card, r"^<[^>]*>", 0)
 
@@ -105,11 +27,3 @@ def inside(card: Column) -> Column:
     return F.regexp_replace(card, r"^<[^>]*>", "")
 
 
-def blocks(markup: Column) -> Column:
-    """Texts between block boundaries, empty ones dropped."""
-    return F.filter(F.transform(F.split(markup, r"(?i)</?div\b[^>]*>"), element_text), lambda t: t != "")
-
-
-def text_nodes(markup: Column) -> Column:
-    """Texts between any tags, and between literal bars, empty ones dropped."""
-    return F.filter(F.transform(F.split(markup, r"<[^>]*>|\|"), element_text), lambda t: t != "")

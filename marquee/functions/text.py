@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html.entities
 import json
 from collections.abc import Callable
 
@@ -15,10 +16,10 @@ WS = r"[\p{Z}\s\x1c-\x1f\x{85}]+"
 PUNCT = r"[^\p{L}\p{N}_ ]"
 # fixed values: one trailing word dropped before punctuation, without a word edge ("olive" -> "o")
 TRAILING_WORD = r" *(?:live|concert|tour|show|presents?|featuring|feat\.?|ft\.?) *$"
-# fixed values: named entities decoded in element text
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&ndash;", "–"),
-            ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"),
-            ("&hellip;", "…"), ("&middot;", "·"), ("&bull;", "•"), ("&copy;", "©"), ("&eacute;", "é")]
+# a character reference: a number with or without its semicolon, or a name with it
+REFERENCE = r"&(?:#[xX][0-9A-Fa-f]++;?|#[0-9]++;?|[A-Za-z][A-Za-z0-9]*+;)"
+# a comment or a tag with the white space around it; each begins where the space before it does
+MARKUP = r"(?s)(?:\G|(?<!\s))\s*+(?:<!--.*?-->|<[^>]*+>)\s*+"
 
 
 def let(x: Column, use: Callable[[Column], Column]) -> Column:
@@ -37,18 +38,13 @@ def squeeze(x: Column) -> Column:
 
 def squeeze_ends(x: Column) -> Column:
     """Ends trimmed of any white space; the inside is left as written."""
-    return F.regexp_replace(x, r"^[\p{Z}\s]+|[\p{Z}\s]+$", "")
+    return F.regexp_replace(x, r"^[\p{Z}\s]++|(?<![\p{Z}\s])[\p{Z}\s]++$", "")
 
 
 def blank_to_null(x: Column) -> Column:
     return F.nullif(x, F.lit(""))
 
 
-def or_default(x: Column, default: str) -> Column:
-    """``x`` unless it is null or empty."""
-    return F.coalesce(blank_to_null(x), F.lit(default))
-
-
 def _base_norm(x: Column) -> Column:
     return F.regexp_replace(squeeze(F.lower(x)), r"^the ", "")
 
@@ -82,26 +78,47 @@ def html_escape(x: Column) -> Column:
     return x
 
 
+def _named() -> dict[str, str]:
+    """Characters by reference name: the standard library's table of the 252 names of HTML 4, and ``&apos;``.
+
+    The page tree (``functions.tree``) knows all later names too; here a larger table would be copied into every plan.
+    """
+    return {name: html.entities.html5[name + ";"] for name in [*html.entities.name2codepoint, "apos"]}
+
+
+def _numbered() -> dict[str, str]:
+    """What the numbers of the control block 128 to 159 mean in pages, where that differs."""
+    return {str(i): c for i in range(128, 160) if (c := bytes([i]).decode("cp1252", "ignore"))}
+
+
+def _character(ref: Column, named: Column, numbered: Column) -> Column:
+    """The text of one character reference; an unknown name stays as written, a number outside Unicode is the replacement sign."""
+    name = F.regexp_extract(ref, "&([^;]+);?", 1)
+    hexed = F.regexp_extract(ref, "^&#[xX]0*([0-9A-Fa-f]*)", 1)
+    plain = F.regexp_extract(ref, "^&#0*([0-9]*)", 1)
+    is_hex = F.rlike(ref, F.lit("^&#[xX]"))
+    long = F.when(is_hex, F.length(hexed) > 6).otherwise(F.length(plain) > 7)
+    code = F.when(is_hex, F.conv(F.when(~long & (hexed != ""), hexed).otherwise("0"), 16, 10)).otherwise(F.when(~long & (plain != ""), plain).otherwise("0")).cast("int")
+    bad = long | (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+    number = F.when(bad, F.lit("\ufffd")).otherwise(F.coalesce(F.try_element_at(numbered, code.cast("string")), F.decode(F.unhex(F.lpad(F.hex(F.when(bad, 65).otherwise(code)), 8, "0")), "UTF-32")))
+    return F.when(ref.startswith("&#"), number).otherwise(F.coalesce(F.try_element_at(named, name), ref))
+
+
 def decode_entities(x: Column) -> Column:
-    """Decode numeric and common named character references; text without ``&`` is returned untouched."""
-    def put(acc: Column, ref: Column) -> Column:
-        digits = F.regexp_extract(ref, r"([0-9A-Fa-f]+);", 1)
-        code = F.when(F.contains(ref, F.lit("x")), F.conv(digits, 16, 10)).otherwise(digits).cast("int")
-        return F.replace(acc, ref, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    """Decode character references, each once; text without ``&`` is returned untouched."""
+    named, numbered = (folded(m, "map<string,string>") for m in (_named(), _numbered()))
 
     def decode(t: Column) -> Column:
-        refs = F.array_distinct(F.regexp_extract_all(t, F.lit(r"&#(?:x[0-9A-Fa-f]{1,5}|[0-9]{1,6});"), F.lit(0)))
-        named = folded([{"e": ent, "c": char} for ent, char in ENTITIES], "array<struct<e:string,c:string>>")
-        out = F.aggregate(named, F.aggregate(refs, t, put), lambda acc, n: F.replace(acc, n["e"], n["c"]))
-        return F.when(F.contains(t, F.lit("&")), F.replace(out, F.lit("&amp;"), F.lit("&"))).otherwise(t)
+        refs = F.regexp_extract_all(t, F.lit(REFERENCE), F.lit(0))
+        whole = F.zip_with(F.split(t, REFERENCE), refs, lambda piece, ref: F.concat(piece, F.when(ref.isNull(), F.lit("")).otherwise(_character(ref, named, numbered))))
+        return F.when(F.contains(t, F.lit("&")), F.array_join(whole, "")).otherwise(t)
 
     return let(x, decode)
 
 
 def element_text(inner: Column) -> Column:
     """Text of an element's inner markup: tags and comments out, each piece trimmed, entities decoded."""
-    bare = F.regexp_replace(inner, r"\s*(?:<!--(?:[^-]|-[^-])*-->|<[^>]*>)\s*", "")
-    return F.trim(decode_entities(F.regexp_replace(bare, r"^\s+|\s+$", "")))
+    return F.trim(decode_entities(squeeze_ends(F.regexp_replace(inner, MARKUP, ""))))
 
 
 def strip_query(url: Column) -> Column:

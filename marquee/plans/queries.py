@@ -442,7 +442,7 @@ def api_second(spark, sf):
         F.struct(F.when(k % 2 == 0, F.lit("GPAC Main")).otherwise(F.lit("")).alias("name"),
                  F.struct(F.when(k % 4 == 1, F.concat(F.lit("Street "), k)).alias("localized_address_display")).alias("address")).alias("venue"))
     body = F.to_json(F.struct(F.array(event).alias("events")))
-    r = api.stage_second(d.select(k.cast("string").alias("origin"), body.alias("body")))
+    r = api.stage_second(d.select(k.cast("string").alias("origin"), body.alias("body")), 4)
     return r.select("origin", "artist", "venue", "date", "time", "url", "kept", "filtered")
 
 

@@ -59,7 +59,7 @@ def stage_ticketing(payloads: DataFrame, rank: int = 0) -> DataFrame:
                                (missing | (parsed & ~F.col("music"))).alias("filtered")), config.TICKETING_API, rank)
 
 
-def stage_second(payloads: DataFrame, rank: int = 4) -> DataFrame:
+def stage_second(payloads: DataFrame, rank: int) -> DataFrame:
     """Listings of the second API; rules look at title, category and the first 200 characters of the description.
 
     Rows that do not parse are not counted as filtered here.

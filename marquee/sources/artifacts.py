@@ -15,15 +15,20 @@ from marquee.functions import dates, text
 from marquee.operators.rules import in_window
 from marquee.operators.venues import venue_or_tba
 
-_GLOB = "*.{" + ",".join(s[1:] + "," + s[1:].upper() for s in config.IMAGE_SUFFIXES + config.WEB_SUFFIXES) + "}"
+def _glob(suffixes: list[str] | tuple[str, ...]) -> str:
+    return "*.{" + ",".join(s[1:] + "," + s[1:].upper() for s in suffixes) + "}"
 
 
-def list_artifacts(spark: SparkSession, path: str) -> DataFrame:
-    """Supported files of a folder: origin, name, suffix, length, modified, content.
+ARCHIVES = (".mhtml",)
+PAGES = tuple(s for s in config.WEB_SUFFIXES if s not in ARCHIVES)
+
+
+def list_artifacts(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (*config.IMAGE_SUFFIXES, *config.WEB_SUFFIXES)) -> DataFrame:
+    """Files of a folder with one of the suffixes, others are not opened: origin, name, suffix, length, modified, content.
 
     One listing under one pattern names each path once, so no distinct (a shuffle of the contents) is needed.
     """
-    f = spark.read.format("binaryFile").option("pathGlobFilter", _GLOB).load(path)
+    f = spark.read.format("binaryFile").option("pathGlobFilter", _glob(suffixes)).load(path)
     name = F.element_at(F.split("path", "/"), -1)
     return f.select(F.col("path").alias("origin"), name.alias("name"), text.suffix(name).alias("suffix"), "length",
                     F.col("modificationTime").alias("modified"), "content")
@@ -50,11 +55,11 @@ def decode_archives(files: DataFrame) -> DataFrame:
     return files.select("origin", "content").mapInPandas(decode, "origin string, html string")
 
 
-def artifact_pages(files: DataFrame, rank: int = 2) -> DataFrame:
-    """Saved pages and archives as input of ``pages.stage_pages``."""
-    html = files.where(F.col("suffix").isin([s for s in config.WEB_SUFFIXES if s != ".mhtml"])).select(
-        "origin", F.decode("content", "UTF-8").alias("html"))
-    pages = html.unionByName(decode_archives(files.where("suffix = '.mhtml'")))
+def artifact_pages(web: DataFrame, archives: DataFrame, rank: int = 2) -> DataFrame:
+    """Saved pages and web archives, listed apart, as input of ``pages.stage_pages``."""
+    html = web.select(
+        "origin", F.make_valid_utf8(F.col("content").cast("string")).alias("html"))  # other encodings: the replacement sign, as far as they differ
+    pages = html.unionByName(decode_archives(archives))
     return pages.select(F.lit("artifact").alias("kind"), "html", F.lit(None).cast("string").alias("page_venue"),
                         F.lit(config.ARTIFACTS).alias("source_name"), F.lit(rank).alias("source_rank"), "origin",
                         F.lit(0).alias("endpoint_rank"))

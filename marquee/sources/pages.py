@@ -1,7 +1,7 @@
 """Listings out of web pages: structured data, embedded page state and card layouts, one plan for all kinds.
 
-Every page is worked on inside its own row (arrays and higher-order functions), so choosing the first strategy
-that yields needs no shuffle; the plan is a scan, a broadcast of the profile dimension, and an explode.
+Every page is worked on inside its own row (arrays and higher-order functions; cards by one Arrow-batched function), so choosing the first
+strategy that yields needs no shuffle; the plan is a scan, a broadcast of the profile dimension, and an explode.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from marquee.config import RunParams
 from marquee.functions import dates, markup, text
 from marquee.operators.rules import in_window, is_music
 from marquee.operators.venues import canonical_venue, venue_or_tba
+from marquee.sources.cards import read_cards
 from marquee.sources.profiles import PROFILE_FIELDS, profile_dim
 
 EVENT = "struct<artist:string,venue:string,date:date,time:string,url:string>"
@@ -152,19 +153,27 @@ def saved_city_events(html: Column, year: int) -> Column:
     """Events of a saved city page: links to /e/ whose text blocks are artist, venue and a date with a time."""
     link = r"(?is)<a\b[^>]*?\shref\s*=\s*[\"'][^\"']*/e/[^\"']*[\"'][^>]*>.*?</a\s*>"
 
+    let = text.let  # each part made once: every reference would else be a copy of the whole expression
+
     def one(anchor: Column) -> Column:
-        body = markup.inside(anchor)
-        divs = F.regexp_count(body, F.lit(r"(?i)<div\b"))
-        in_blocks = divs > 1
-        parts = F.when(in_blocks, markup.blocks(body)).otherwise(markup.text_nodes(body))
+        return let(markup.inside(anchor), lambda body: let(F.regexp_count(body, F.lit(r"(?i)<div\b")), lambda divs: let(
+            F.transform(F.filter(F.split(body, F.when(divs > 1, F.lit(r"(?i)</?div\b[^>]*>")).otherwise(F.lit(r"<[^>]*>|\|"))), lambda t: t != ""), text.element_text),
+            lambda pieces: let(F.filter(pieces, lambda t: t != ""), lambda parts: event(anchor, divs, parts)))))
+
+    def event(anchor: Column, divs: Column, parts: Column) -> Column:
         dated = F.array_position(F.transform(parts, lambda t: F.rlike(t, F.lit(_MONTH_DIGIT))), True).cast("int")
-        at = F.when(in_blocks, dated).otherwise(F.lit(3))
-        artist = F.get(parts, F.lit(0))
-        venue = F.when(at > 2, F.get(parts, F.lit(1))).otherwise(F.lit(""))
-        day_text, time_text = dates.split_day_and_time(F.get(parts, at - 1))
-        url = text.blank_to_null(text.strip_query(markup.attribute(markup.own_tag(anchor), "href")))
-        ok = (divs > 0) & (at > 1) & (F.size(parts) >= at)
-        return F.when(ok, _event(artist, venue_or_tba(venue), dates.parse_date_text(day_text, year), time_text, url))
+
+        def at_place(at: Column) -> Column:
+            venue = F.when(at > 2, F.get(parts, F.lit(1))).otherwise(F.lit(""))
+
+            def from_day(day: Column) -> Column:
+                day_text, time_text = dates.split_day_and_time(day)
+                url = text.blank_to_null(text.strip_query(markup.attribute(markup.own_tag(anchor), "href")))
+                return _event(F.get(parts, F.lit(0)), venue_or_tba(venue), dates.parse_date_text(day_text, year), time_text, url)
+
+            return F.when((divs > 0) & (at > 1) & (F.size(parts) >= at), let(F.get(parts, at - 1), from_day))
+
+        return let(F.when(divs > 1, dated).otherwise(F.lit(3)), at_place)
 
     anchors = F.regexp_extract_all(html, F.lit(link), F.lit(0))
     return F.when(F.contains(html, F.lit("/e/")), F.filter(
@@ -172,61 +181,32 @@ def saved_city_events(html: Column, year: int) -> Column:
     ).otherwise(_no_events())
 
 
-def _match(card: Column, pattern: Column) -> Column:
-    """struct(name, attrs, inner) of the first match of an element pattern; null when there is none."""
-    return F.when(F.rlike(card, pattern), F.struct(
-        F.lower(markup.extract(card, pattern, 1)).alias("name"),
-        markup.extract(card, pattern, 2).alias("attrs"),
-        markup.extract(card, pattern, 3).alias("inner")))
-
-
-def card_events(html: Column, p: dict[str, Column], fixed_venue: Column, year: int) -> Column:
-    """Events of a page's cards under the first strategy that yields a card, or an event where the profile says so."""
-    def strategy_cards(s: Column, rank: Column) -> Column:
-        scope = F.when(s["scope"] == "", html).otherwise(markup.extract(html, s["scope"], 1))
-        cards = markup.cut_cards(scope, s["cards"])
-        return F.transform(cards, lambda c: F.struct(rank.alias("rank"), c.alias("card")))
-
-    def fields(c: Column) -> Column:
-        body = markup.inside(c["card"])
-        title = F.coalesce(_match(body, p["title"]), _match(body, p["title_else"]))
-        date_el = _match(body, p["date"])
-        time_el = F.coalesce(_match(body, p["time1"]), _match(body, p["time2"]), _match(body, p["time3"]))
-        venue_el = _match(body, p["venue"])
-        return F.struct(c["rank"].alias("rank"), c["card"].alias("card"), title.alias("title"), date_el.alias("date"),
-                        time_el.alias("time"), venue_el.alias("venue"))
-
-    def build(f: Column) -> Column:
-        artist = text.element_text(f["title"]["inner"])
-        stamp = text.blank_to_null(markup.attribute(f["date"]["attrs"], "datetime"))
+def card_events(read: Column, p: dict[str, Column], fixed_venue: Column, year: int) -> Column:
+    """Events of a page's cards (``CARD``) under the first strategy that yields a card, or an event where the profile says so."""
+    def build(c: Column) -> Column:
+        stamp = text.blank_to_null(c["stamp"])
         by_attr = F.when(p["date_attr"] != "ignore", dates.iso_date(F.replace(stamp, F.lit("Z"), F.lit("+00:00"))))
-        by_text = F.when((p["date_attr"] != "strict") | stamp.isNull(),
-                         dates.parse_date_text(text.element_text(f["date"]["inner"]), year))
-        venue_text = text.element_text(f["venue"]["inner"])
+        by_text = F.when((p["date_attr"] != "strict") | stamp.isNull(), dates.parse_date_text(c["date"], year))
         venue = (F.when(p["fixed_venue"], fixed_venue)
-                 .when(p["blank_venue"], canonical_venue(F.coalesce(venue_text, F.lit(config.VENUE_TBA))))
-                 .otherwise(venue_or_tba(venue_text)))
-        title_link = F.coalesce(
-            F.when(f["title"]["name"] == "a", markup.attribute(f["title"]["attrs"], "href")),
-            F.when(p["link_rule"] == "prefix", markup.first_link(f["title"]["inner"], markup.ANY_HREF)))
-        link = (F.when(p["link_from"] == "title", title_link)
-                .when(p["link_from"] == "card", markup.first_link(f["card"], p["link"])))
+                 .when(p["blank_venue"], canonical_venue(F.coalesce(c["venue"], F.lit(config.VENUE_TBA))))
+                 .otherwise(venue_or_tba(c["venue"])))
+        link = c["link"]
         url = (F.when(p["link_rule"] == "absolute", text.absolute_url(link, None))
                .when(p["link_rule"] == "prefix", text.absolute_url(link, p["base_url"])).otherwise(link))
-        return F.struct(f["rank"].alias("rank"),
-                        _event(artist, venue, F.coalesce(by_attr, by_text), text.element_text(f["time"]["inner"]), url).alias("event"))
+        return F.struct(c["rank"].alias("rank"), _event(c["title"], venue, F.coalesce(by_attr, by_text), c["time"], url).alias("event"))
+
+    built = F.filter(F.transform(read, build), lambda e: F.coalesce((e["event"]["artist"] != "") & e["event"]["date"].isNotNull(), F.lit(False)))
+
+    def best(events: Column) -> Column:
+        # each made once: a lambda repeats what it refers to for every element
+        return text.let(F.array_min(F.transform(events, lambda e: e["rank"])),
+                        lambda least: F.transform(F.filter(events, lambda e: e["rank"] == least), lambda e: e["event"]))
 
-    ranked = F.flatten(F.transform(p["strategies"], strategy_cards))
-    first = F.array_min(F.transform(ranked, lambda c: c["rank"]))
-    in_play = F.filter(ranked, lambda c: p["yield_mode"] | (c["rank"] == first))
-    built = F.filter(F.transform(F.transform(in_play, fields), build),
-                     lambda e: F.coalesce((e["event"]["artist"] != "") & e["event"]["date"].isNotNull(), F.lit(False)))
-    best = F.array_min(F.transform(built, lambda e: e["rank"]))
-    return F.transform(F.filter(built, lambda e: e["rank"] == best), lambda e: e["event"])
+    return text.let(built, best)
 
 
 @lru_cache(maxsize=16)
-def _attempts(application: str, year: int) -> tuple[Column, Column, Column, Column]:
+def _attempts(application: str, year: int) -> tuple[Column, Column, Column, Column, Column]:
     """The four attempts as expressions over html, page_venue and the profile's columns, each run only where those
     before it found nothing. Built once per session and year, since they are large."""
     html = F.col("html")
@@ -235,9 +215,8 @@ def _attempts(application: str, year: int) -> tuple[Column, Column, Column, Colu
     ld = F.when(cols["jsonld"] & (F.size("_city") == 0), jsonld_events(
         html, F.when(cols["fixed_venue"], F.col("page_venue")), cols["jsonld_graph"], cols["jsonld_date_time"])).otherwise(_no_events())
     state = F.when(cols["page_state"] & (F.size("_ld") == 0), page_state_events(html)).otherwise(_no_events())
-    cards = F.when((F.size("_city") + F.size("_ld") + F.size("_state")) == 0,
-                   card_events(html, cols, F.col("page_venue"), year)).otherwise(_no_events())
-    return city, ld, state, cards
+    none = (F.size("_city") + F.size("_ld") + F.size("_state")) == 0
+    return city, ld, state, read_cards(F.col("kind"), F.when(none, html)), card_events(F.col("_read"), cols, F.col("page_venue"), year)
 
 
 def page_events(pages: DataFrame, year: int) -> DataFrame:
@@ -247,10 +226,11 @@ def page_events(pages: DataFrame, year: int) -> DataFrame:
     """
     spark = pages.sparkSession
     lineage = pages.columns
-    city, ld, state, cards = _attempts(spark.sparkContext.applicationId, year)
+    city, ld, state, read, cards = _attempts(spark.sparkContext.applicationId, year)
     p = profile_dim(spark).withColumnRenamed("kind", "_kind")
     x = pages.join(F.broadcast(p), F.col("kind") == F.col("_kind"))
-    x = x.withColumn("_city", city).withColumn("_ld", ld).withColumn("_state", state).withColumn("_card", cards)
+    x = x.withColumn("_city", city).withColumn("_ld", ld).withColumn("_state", state)
+    x = x.withColumn("_read", read).withColumn("_card", cards)
     found = (F.when(F.size("_city") > 0, F.col("_city")).when(F.size("_ld") > 0, F.col("_ld"))
              .when(F.size("_state") > 0, F.col("_state")).otherwise(F.col("_card")))
     city = F.size("_city") > 0

@@ -1,113 +1,90 @@
-"""Page profiles: how listings are laid out on each kind of page, as rows of a small dimension.
+"""Page profiles: how listings are laid out on each kind of page.
 
-A profile lists ordered card strategies and one pattern per field. Adding a site means adding a row here and
-naming it in the venue dimension; the extraction plan does not change.
+A profile lists ordered card strategies and one selector per field. Adding a site means adding an entry here and naming it in the venue
+dimension; the extraction plan does not change.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 
 from marquee import config
-from marquee.functions.markup import (ANY_HREF, EVENT_HREF, anchor_in, attr_has, cards_at, class_has, element,
-                                      has_class, tag)
-
-NONE = r"(?!)"  # matches nothing; has the groups of an element pattern
-NO_ELEMENT = rf"{NONE}()()()"
-NO_LINK = rf"{NONE}()"
-
-SCHEMA = """kind string, saved_city boolean, jsonld boolean, jsonld_graph boolean, jsonld_date_time boolean,
- page_state boolean, strategies array<struct<scope:string,cards:string>>, yield_mode boolean,
- title string, title_else string, date string, date_attr string, time1 string, time2 string, time3 string,
- venue string, blank_venue boolean, link string, link_from string, link_rule string, base_url string,
- fixed_venue boolean, source_text string, drop_outside boolean, apply_rules boolean"""
-
-
-def _p(kind: str, **kw) -> dict:
-    row = dict(
-        kind=kind, saved_city=False, jsonld=False, jsonld_graph=False, jsonld_date_time=False, page_state=False,
-        strategies=[], yield_mode=False, title=NO_ELEMENT, title_else=NO_ELEMENT, date=NO_ELEMENT, date_attr="ignore",
-        time1=NO_ELEMENT, time2=NO_ELEMENT, time3=NO_ELEMENT, venue=NO_ELEMENT, blank_venue=False, link=NO_LINK,
-        link_from="none", link_rule="raw", base_url="", fixed_venue=False, source_text="", drop_outside=False,
-        apply_rules=False)
-    row.update(kw)
-    row["strategies"] = [s if isinstance(s, tuple) else ("", s) for s in row["strategies"]]
-    return row
-
 
-def _cards(*alternatives: str) -> str:
-    return cards_at(*alternatives)
-
-
-def profiles() -> list[dict]:
-    site = dict(fixed_venue=True, link_from="card", link_rule="raw")
-    event_articles = class_has("event", name="(?i:article)")
-    generic = _p(
+FLAGS = """kind string, saved_city boolean, jsonld boolean, jsonld_graph boolean, jsonld_date_time boolean, page_state boolean,
+ yield_mode boolean, date_attr string, blank_venue boolean, link_rule string, base_url string, fixed_venue boolean,
+ source_text string, drop_outside boolean, apply_rules boolean"""
+
+
+@dataclass(frozen=True)
+class Profile:
+    kind: str
+    strategies: tuple[str, ...]
+    title: str
+    date: str
+    title_else: str = ""
+    times: tuple[str, ...] = ()
+    venue: str = ""
+    link: str = ""
+    link_from: str = "card"  # card: first ``link`` in it; own: the card's address, else that; title: the title's, or with a prefix that inside it
+    saved_city: bool = False
+    jsonld: bool = False
+    jsonld_graph: bool = False
+    jsonld_date_time: bool = False
+    page_state: bool = False
+    yield_mode: bool = False
+    date_attr: str = "ignore"
+    blank_venue: bool = False
+    link_rule: str = "raw"
+    base_url: str = ""
+    fixed_venue: bool = False
+    source_text: str = ""
+    drop_outside: bool = False
+    apply_rules: bool = False
+
+
+# fixed values: selectors, in order of preference
+PROFILES = [
+    Profile(
         "generic", jsonld=True, jsonld_graph=True, fixed_venue=True,
-        strategies=[
-            _cards(has_class("tribe-events-list-event")), _cards(has_class("type-tribe_events")),
-            _cards(has_class("eventon_list_event")), _cards(has_class("eventlist-event")), _cards(has_class("summary-item")),
-            _cards(has_class("event-item")), _cards(has_class("event-listing")), _cards(has_class("event-card")),
-            _cards(class_has("event-item")), _cards(class_has("eventItem")), _cards(event_articles),
-            (rf"(?s)<{has_class('events', name='(?i:table)')}[^>]*>(.*?)</(?i:table)>", _cards(tag("tr")))],
-        title=element(tag("h1", "h2", "h3"), has_class("eventlist-title-link")),
-        title_else=anchor_in(has_class("tribe-events-list-event-title"), has_class("eventlist-title"), has_class("summary-title")),
-        date=element(attr_has("datetime", name="(?i:time)"), tag("abbr"), has_class("eventlist-meta-date"),
-                     has_class("summary-metadata-item--date")),
-        date_attr="prefer",
-        time1=element(has_class("event-time-localized-start", name="(?i:time)")),
-        time2=element(has_class("tribe-event-time")), time3=element(has_class("eventlist-meta-time")),
-        link_from="title", link_rule="absolute")
-    return [
-        generic,
-        _p("hi_tone", strategies=[_cards(has_class("eventWrapper"))], title=element(tag("h2", "h3")),
-           date=element(class_has("eventMonth")), link=EVENT_HREF, **site),
-        _p("minglewood", strategies=[_cards(has_class("seven", "columns"))], title=element(has_class("tw-name")),
-           date=element(has_class("tw-date-time")), link=EVENT_HREF, **site),
-        _p("hernandos", strategies=[_cards(has_class("event-info-block"))], title=element(has_class("title")),
-           date=element(has_class("date")), time1=element(has_class("see-showtime")), link=ANY_HREF, **site),
-        _p("artifact", saved_city=True, jsonld=True, jsonld_date_time=True, yield_mode=True,
-           strategies=[
-               _cards(has_class("event-item")), _cards(has_class("event-card")), _cards(has_class("event-listing")),
-               _cards(class_has("event-item")), _cards(class_has("eventItem")), _cards(event_articles),
-               _cards(has_class("tribe-events-list-event")), _cards(has_class("eventlist-event"))],
-           title=element(tag("h2", "h3", "h4"), class_has("title")), date=element(tag("time"), class_has("date")),
-           date_attr="prefer", venue=element(class_has("venue"), class_has("location")), blank_venue=True,
-           source_text="artifact"),
-        _p("marketplace", jsonld=True, jsonld_date_time=True, page_state=True,
-           strategies=[_cards(class_has("event"), class_has("Event"), attr_has("data-testid", "event"))],
-           title=element(tag("h2", "h3", "h4"), class_has("title"), class_has("name")),
-           date=element(tag("time"), class_has("date"), attr_has("datetime")), date_attr="strict",
-           venue=element(class_has("venue"), class_has("location")), link=ANY_HREF, link_from="card",
-           link_rule="prefix", base_url=config.MARKETPLACE_BASE, source_text=config.MARKETPLACE, apply_rules=True),
-        _p("city_page",
-           strategies=[_cards(attr_has("data-testid", r"(?<=[\"'])event-card(?=[\"'])")),
-                       _cards(has_class("event-card"), has_class("eventCard"), class_has("EventCard")),
-                       _cards(attr_has("href", "/e/", name="(?i:a)"))],
-           title=element(class_has("artist"), class_has("Artist"), attr_has("data-testid", r"(?<=[\"'])event-name(?=[\"'])"),
-                         tag("h3", "h4")),
-           date=element(class_has("date"), class_has("Date"), tag("time")),
-           venue=element(class_has("venue"), class_has("Venue"), class_has("location")), link=ANY_HREF,
-           link_from="card", link_rule="prefix", base_url=config.CITY_PAGE_BASE, source_text=config.CITY_PAGE,
-           drop_outside=True, apply_rules=True),
-        _p("newspaper",
-           strategies=[_cards(has_class("EventListing"), has_class("event-listing"), class_has("event-item"),
-                              has_class("event", name="(?i:article)")),
-                       _cards(has_class("fdn-listing-item"), has_class("listing-item")),
-                       _cards(class_has("(?i:event)", name="(?i:div)"))],
-           title=anchor_in(tag("h3", "h2"), has_class("fdn-listing-title"), has_class("event-title"), class_has("title")),
-           title_else=element(tag("h3", "h2"), has_class("event-title")),
-           date=element(has_class("EventDate"), has_class("event-date"), class_has("date"), tag("time")),
-           time1=element(has_class("EventTime"), has_class("event-time"), class_has("time")),
-           venue=element(has_class("EventVenue"), has_class("event-venue"), class_has("venue"), class_has("location")),
-           link_from="title", link_rule="prefix", base_url=config.NEWSPAPER_BASE, source_text=config.NEWSPAPER,
-           apply_rules=True),
-    ]
+        strategies=(
+            ".tribe-events-list .tribe-events-list-event", ".type-tribe_events", ".eventon_list_event a", ".eventlist-event", ".summary-item",
+            ".event-item", ".event-listing", ".event-card", "[class*='event-item']", "[class*='eventItem']", "article[class*='event']", "table.events tr"),
+        title="h1 a, h2 a, h3 a, h1, h2, h3, .tribe-events-list-event-title a, .eventlist-title a, .eventlist-title-link, .summary-title a",
+        date="time[datetime], .tribe-event-schedule-details abbr, .eventlist-meta-date, .summary-metadata-item--date", date_attr="prefer",
+        times=("time.event-time-localized-start", ".tribe-event-time", ".eventlist-meta-time"), link_from="title", link_rule="absolute"),
+    Profile("hi_tone", (".eventWrapper",), title="h2, h3", date="[class*='eventMonth']", link="a[href*='/event/']", fixed_venue=True),
+    Profile("minglewood", (".seven.columns",), title=".tw-name", date=".tw-date-time", link="a[href*='/event/']", fixed_venue=True),
+    Profile("hernandos", (".event-info-block",), title=".title a, .title", date=".date", times=(".see-showtime",), link="a[href]", fixed_venue=True),
+    Profile(
+        "artifact", saved_city=True, jsonld=True, jsonld_date_time=True, yield_mode=True,
+        strategies=(".event-item", ".event-card", ".event-listing", "[class*='event-item']", "[class*='eventItem']", "article[class*='event']",
+                    ".tribe-events-list-event", ".eventlist-event"),
+        title="h2, h3, h4, [class*='title']", date="time, [class*='date']", date_attr="prefer", venue="[class*='venue'], [class*='location']",
+        blank_venue=True, source_text="artifact"),
+    Profile(
+        "marketplace", jsonld=True, jsonld_date_time=True, page_state=True, strategies=("[class*='event'], [class*='Event'], [data-testid*='event']",),
+        title="h2, h3, h4, [class*='title'], [class*='name']", date="time, [class*='date'], [datetime]", date_attr="strict",
+        venue="[class*='venue'], [class*='location']", link="a", link_rule="prefix", base_url=config.MARKETPLACE_BASE, source_text=config.MARKETPLACE, apply_rules=True),
+    Profile(
+        "city_page", strategies=("[data-testid='event-card']", ".event-card, .eventCard, [class*='EventCard']", "a[href*='/e/']"),
+        title="[class*='artist'], [class*='Artist'], [data-testid='event-name'], h3, h4", date="[class*='date'], [class*='Date'], time",
+        venue="[class*='venue'], [class*='Venue'], [class*='location']", link="a", link_from="own", link_rule="prefix", base_url=config.CITY_PAGE_BASE,
+        source_text=config.CITY_PAGE, drop_outside=True, apply_rules=True),
+    Profile(
+        "newspaper",
+        strategies=(".EventListing, .event-listing, [class*='event-item'], article.event", ".fdn-listing-item, .listing-item", "div[class*='event' i]"),
+        title="h3 a, h2 a, .fdn-listing-title a, .event-title a, [class*='title'] a", title_else="h3, h2, .event-title",
+        date=".EventDate, .event-date, [class*='date'], time", times=(".EventTime, .event-time, [class*='time']",),
+        venue=".EventVenue, .event-venue, [class*='venue'], [class*='location']", link_from="title", link_rule="prefix", base_url=config.NEWSPAPER_BASE,
+        source_text=config.NEWSPAPER, apply_rules=True),
+]
+
+PROFILE_FIELDS = [x.strip().split()[0] for x in FLAGS.split(",")][1:]
+SITE_PROFILES = ["hi_tone", "minglewood", "hernandos"]
 
 
 def profile_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(profiles(), SCHEMA)
-
-
-PROFILE_FIELDS = [f for f in profiles()[0] if f != "kind"]
-SITE_PROFILES = ["hi_tone", "minglewood", "hernandos"]
+    """The profiles' flags; selectors stay with the program."""
+    return spark.createDataFrame([tuple(getattr(p, f) for f in ["kind", *PROFILE_FIELDS]) for p in PROFILES], FLAGS)

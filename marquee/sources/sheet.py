@@ -87,7 +87,7 @@ def stage_sheet(sheet: Sheet, p: RunParams, rank: int = 1) -> DataFrame:
         return text.squeeze_ends(F.coalesce(F.col(f"c{at[field][0]}"), F.lit(""))) if field in at else F.lit("")
 
     width = len(sheet.header)
-    cells = F.length(F.regexp_replace(F.regexp_replace(CORRUPT, r'"(?:[^"]|"")*"', ""), "[^,]", "")) + 1
+    cells = F.length(F.regexp_replace(F.regexp_replace(CORRUPT, r'"[^"]*+(?:""[^"]*+)*+"', ""), "[^,]", "")) + 1
     needed = max((i for i, _ in at.values()), default=0)
     firsts = len(at) == len(HEADERS) and all(first for _, first in at.values())
     readable = F.col(CORRUPT).isNull() | F.when(cells > width, F.lit(firsts)).otherwise(cells > needed)

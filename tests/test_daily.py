@@ -86,7 +86,7 @@ def test_sheet(spark, landed):
 def test_artifacts(spark, landed):
     files = artifacts.list_artifacts(spark, str(landed / "art"))
     assert sorted(r.name for r in files.select("name").collect()) == ["a.mhtml", "b.HTML"]  # an empty file holds nothing
-    pages = {r.origin.rsplit("/", 1)[1]: r.html for r in artifacts.artifact_pages(files).collect()}
+    pages = {r.origin.rsplit("/", 1)[1]: r.html for r in artifacts.artifact_pages(*(artifacts.list_artifacts(spark, str(landed / "art"), x) for x in (artifacts.PAGES, artifacts.ARCHIVES))).collect()}
     assert "Café" in pages["a.mhtml"] and "Card" in pages["b.HTML"]
     assert intake.retained(files, F.lit("2000-01-01").cast("timestamp")).count() == 2
     assert intake.retained(files, F.lit("2100-01-01").cast("timestamp")).count() == 0
@@ -176,3 +176,22 @@ def test_rss_document(spark):
     assert channel.find("title").text == "Shows <now>"
     assert [i.find("title").text for i in channel.findall("item")] == ["A — Shell (7 PM)", "B & C — bar"]
     assert [getattr(i.find("link"), "text", None) for i in channel.findall("item")] == ["http://x?a=1&b=2", None]
+
+
+def test_bad_inputs_end_one_source_only(spark, landed, tmp_path):
+    art = tmp_path / "art"
+    art.mkdir()
+    (art / "latin.html").write_bytes('<div class="event-card"><h2>Caf\xe9</h2><time>Feb 17</time></div>'.encode("latin-1"))
+    (art / "broken.mhtml").write_bytes(b"Content-Type: multipart/related; boundary=x\n\n--x\nContent-Type: text/html\nContent-Transfer-Encoding: base64\n\n%%%")
+    (art / "big.png").write_bytes(b"x" * 1000)
+    bad = spark.createDataFrame([("n0", "<p></p>", 0)], "origin string, html string, endpoint_rank int").withColumn("html", F.raise_error(F.lit("torn page")).cast("string"))
+    run = daily.run_daily(spark, daily.Landing(ticketing=str(landed / "api"), sheets=[(str(landed / "manual.csv"), config.SHEET_LOCAL)], artifacts=str(art), marketplace=bad), P, str(tmp_path / "out"))
+    audit = {r.source_name: r for r in run.audit.collect()}
+    assert not audit["DICE"].success and "torn page" in audit["DICE"].error
+    assert audit["Ticketmaster"].success and audit["Artifacts (Vision-Extracted)"].events_found == 1
+    assert "Caf\ufffd" in {r.artist for r in run.staged.collect()}
+    out = tmp_path / "out"
+    assert spark.read.parquet(str(out / "failures")).count() == sum(not r.success for r in audit.values())
+    assert spark.read.parquet(str(out / "health")).count() == len(audit) and spark.read.parquet(str(out / "totals")).count() == 1
+    assert "slot" not in spark.read.parquet(str(out / "listing")).columns
+    assert "".join(p.read_text() for p in sorted((out / "rss").glob("part-*"))).rstrip().endswith("</rss>")
