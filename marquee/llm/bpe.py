@@ -29,7 +29,7 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Rows longer than this are merged by a heap over a linked list: the same merges, without a pass over the row for each.
 LONG_PIECE = 256
 #: Pre-tokens remembered by a task; beyond it the memory starts again, which costs time and changes nothing.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Texts longer than this many code points are split lazily.
 LONG_TEXT = 4_000_000
 

@@ -82,7 +82,7 @@ def label_model(v: np.ndarray, anchor: np.ndarray, rounds: int = 25) -> tuple[np
     that the hidden class stays what the labels mean rather than what most copies of a voter say. Each round estimates the voters' rates in either class, then the posteriors. The
     correlations inside the classes are taken from the posteriors at the start, after a third and after two thirds of the rounds.
     """
-    v = np.hstack([v, anchor[:, None]])
+    v = np.hstack([v, anchor[:, None]]).astype(np.float32)  # the largest thing on the driver: SAMPLE_ROWS x TERMS
     post, weight = 0.03 + 0.92 * anchor, np.ones(v.shape[1])
     for k in range(rounds):
         a, b = post.sum() + 2, (1 - post).sum() + 2
@@ -90,7 +90,7 @@ def label_model(v: np.ndarray, anchor: np.ndarray, rounds: int = 25) -> tuple[np
         if k in (0, rounds // 3, 2 * rounds // 3):  # at once: copies would else become the hidden class
             total = np.zeros((v.shape[1], v.shape[1]))
             for p, r in ((post, r1), (1 - post, r0)):
-                c = (v - r) * np.sqrt(p)[:, None]
+                c = (v - r.astype(np.float32)) * np.sqrt(p).astype(np.float32)[:, None]
                 cov = c.T @ c
                 d = np.sqrt(np.maximum(cov.diagonal(), 1e-9))
                 total = np.maximum(total, np.clip(cov / d / d[:, None], 0, 1))
@@ -161,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         yield from in_batches(((voter.votes(t, known), y) for t, y in rows_of(batches)), schema)
 
     got = sorted((tuple(sorted(r.votes)), r.toxic) for r in rows.mapInArrow(vote, "votes array<int>, toxic int").collect())
-    v = np.zeros((len(got), len(voter.weights)))
+    v = np.zeros((len(got), len(voter.weights)), np.float32)
     for i, (fired, _) in enumerate(got):
         v[i, list(fired)] = 1
     y = np.array([t for _, t in got], float)
