@@ -30,7 +30,8 @@ def test_pages_do_not_shuffle(spark):
     df = spark.createDataFrame([("generic", "<p></p>", "v", "s", 1, "o", 0)],
                                "kind string, html string, page_venue string, source_name string, source_rank int, origin string, endpoint_rank int")
     p = plan(pages.stage_pages(df, P))
-    assert "BroadcastHashJoin" in p and "Exchange hashpartitioning" not in p and "Python" not in p
+    # cards are read from the page's tree by one Arrow-batched function, once for each page; all else is JVM expressions
+    assert "BroadcastHashJoin" in p and "Exchange hashpartitioning" not in p and p.count("Python") == p.count("ArrowEvalPython") == 1
 
 
 def test_ordinary_blocks_shuffle_once(spark):
