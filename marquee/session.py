@@ -14,6 +14,7 @@ def local_session(cores: int | str = 8, name: str = "marquee", **extra: str) ->
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.driver.memory", "8g")
          .config("spark.ui.enabled", "false")
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     for k, v in extra.items():
         b = b.config(k, v)

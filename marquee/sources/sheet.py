@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,7 @@ class Sheet:
     rows: DataFrame          # one string column per header position (c0, c1, ...), CORRUPT, origin, pos
     header: list[str]
     source_name: str
+    others: tuple[Sheet, ...] = ()   # files of the same folder with another header
 
 
 def resolve_headers(header: list[str]) -> dict[str, tuple[int, bool]]:
@@ -49,10 +51,23 @@ def _schema(width: int) -> T.StructType:
 
 
 def read_sheet(spark: SparkSession, path: str, source_name: str = config.SHEET) -> Sheet:
-    """Read CSV files that share one header. Quoted cells may span lines, so a file is not split."""
-    header = spark.read.option("header", True).option("multiLine", True).csv(path).columns
+    """Read CSV files, each under its own header. Quoted cells may span lines, so a file is not split.
+
+    Files are kept by hand, so that there are few; those with equal headers are read together.
+    """
+    files = sorted(r.path for r in spark.read.format("binaryFile").load(path).select("path").collect())  # a listing, nothing is opened
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for f in files:
+        groups.setdefault(tuple(spark.read.option("header", True).option("multiLine", True).csv(f).columns), []).append(f)
+    if not groups:
+        raise FileNotFoundError(f"no files in {path}")
+    sheets = [_read_files(spark, paths, list(header), source_name) for header, paths in groups.items()]
+    return replace(sheets[0], others=tuple(sheets[1:]))
+
+
+def _read_files(spark: SparkSession, paths: list[str], header: list[str], source_name: str) -> Sheet:
     rows = (spark.read.schema(_schema(len(header))).option("header", True).option("multiLine", True).option("escape", '"')
-            .option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path))
+            .option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(paths))
     rows = rows.select("*", F.col("_metadata.file_path").alias("origin"), F.monotonically_increasing_id().alias("pos"))
     return Sheet(rows, header, source_name)
 
@@ -81,6 +96,9 @@ def stage_sheet(sheet: Sheet, p: RunParams, rank: int = 1) -> DataFrame:
     A row that lacks a cell one of the fields is looked up in is skipped. A row with more cells than headers is
     kept only when every field is found under its first name.
     """
+    if sheet.others:
+        parts = [stage_sheet(replace(sheet, others=()), p, rank), *(stage_sheet(x, p, rank) for x in sheet.others)]
+        return reduce(DataFrame.unionByName, parts)
     at = resolve_headers(sheet.header)
 
     def cell(field: str):

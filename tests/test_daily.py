@@ -195,3 +195,13 @@ def test_bad_inputs_end_one_source_only(spark, landed, tmp_path):
     assert spark.read.parquet(str(out / "health")).count() == len(audit) and spark.read.parquet(str(out / "totals")).count() == 1
     assert "slot" not in spark.read.parquet(str(out / "listing")).columns
     assert "".join(p.read_text() for p in sorted((out / "rss").glob("part-*"))).rstrip().endswith("</rss>")
+
+
+def test_sheets_of_a_folder_keep_their_own_headers(spark, tmp_path):
+    d = tmp_path / "sheets"
+    d.mkdir()
+    (d / "one.csv").write_text("date,artist,venue\n2026-02-16,A,Growlers\n")
+    (d / "two.csv").write_text("venue,date,artist\nGrowlers,2026-02-17,B\nGrowlers,2026-02-18,C\n")
+    (d / "three.csv").write_text("date,artist,venue\n2026-02-19,D,Growlers\n")
+    rows = sheet.stage_sheet(sheet.read_sheet(spark, str(d)), P).collect()
+    assert sorted((r.artist, r.venue, r.date.day) for r in rows) == [("A", "Growlers", 16), ("B", "Growlers", 17), ("C", "Growlers", 18), ("D", "Growlers", 19)]
