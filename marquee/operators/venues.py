@@ -41,18 +41,19 @@ def resolve_with_table(df: DataFrame, alias_table: DataFrame, name_col: str, out
     """The same lookup against an alias table ``(alias_rank, alias, canonical)`` of any size.
 
     Exact names are an equi-join. Only distinct names left over are searched for containment, and that too is an
-    equi-join: a text inside another shares its own first three characters with it, so the shorter side is keyed by
-    those and the longer side by all its substrings of that length. Nothing is compared with every alias.
+    equi-join: a text inside another shares all its own runs of three characters with it, so the shorter side is keyed by
+    the one that is rarest on the longer side, and the longer side by all its substrings of that length. Nothing is compared with every
+    alias, and a run that half of all names hold keys only texts that have no rarer one.
     """
     key = squeeze_ends(F.lower(name_col))
     aliases = alias_table.select("alias_rank", "alias", "canonical")
     names = df.select(key.alias("_key")).distinct()
     exact = names.join(aliases, F.col("_key") == F.col("alias"), "left")
     rest = exact.where(F.col("canonical").isNull()).select("_key")
-    in_name = (rest.select("_key", F.explode(substrings(F.col("_key"))).alias("gram"))
-               .join(aliases.withColumn("gram", first_gram(F.col("alias"))), "gram").where(F.contains("_key", "alias")))
-    in_alias = (rest.withColumn("gram", first_gram(F.col("_key")))
-                .join(aliases.select("*", F.explode(substrings(F.col("alias"))).alias("gram")), "gram").where(F.contains("alias", "_key")))
+    name_grams = rest.select("_key", F.explode(substrings(F.col("_key"))).alias("gram"))
+    in_name = name_grams.join(with_rarest_gram(aliases, "alias", name_grams), "gram").where(F.contains("_key", "alias"))
+    alias_grams = aliases.select("*", F.explode(substrings(F.col("alias"))).alias("gram"))
+    in_alias = with_rarest_gram(rest, "_key", alias_grams).join(alias_grams, "gram").where(F.contains("alias", "_key"))
     held = (in_name.select("_key", "canonical", "alias_rank").unionByName(in_alias.select("_key", "canonical", "alias_rank"))
             .groupBy("_key").agg(F.min_by("canonical", "alias_rank").alias("_hit")))
     table = (exact.where(F.col("canonical").isNotNull()).select("_key", F.col("canonical").alias("_hit"))
@@ -61,9 +62,13 @@ def resolve_with_table(df: DataFrame, alias_table: DataFrame, name_col: str, out
             .withColumn(out_col, F.coalesce("_hit", squeeze_ends(F.col(name_col)))).drop("_key", "_hit"))
 
 
-def first_gram(x: Column) -> Column:
-    """First three characters; a shorter text stands for itself."""
-    return F.substring(x, 1, 3)
+def with_rarest_gram(short: DataFrame, text: str, grams: DataFrame) -> DataFrame:
+    """``short`` with ``gram``: of the text's runs of three characters the one with the fewest rows in ``grams``; a shorter text stands for itself."""
+    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
+    spots = F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1)))
+    own = short.select(text).distinct().select(text, F.explode(F.array_distinct(F.transform(spots, lambda i: F.substr(F.col(text), i, F.lit(3))))).alias("gram"))
+    rarest = own.join(counts, "gram", "left").groupBy(text).agg(F.min_by("gram", F.struct(F.coalesce("_n", F.lit(0)), "gram")).alias("gram"))
+    return short.join(rarest, text)
 
 
 def substrings(x: Column) -> Column:
