@@ -95,7 +95,6 @@ SHAPES = {
     "phone": re.compile(r"[+(]?[(]?[0-9](?:[\x20()./ -]{0,3}[0-9]){6,14}"),
 }
 TRIGGER = re.compile(rf"[0-9](?:[\x20()._/ -]{{0,3}}[0-9]){{6,}}|(?:{AT})[A-Za-z0-9-]+(?:{DOT})[A-Za-z]{{2,}}|[0-9]{{1,3}}(?:(?:{DOT})[0-9]{{1,3}}){{3}}", re.I)
-QUICK = re.compile(r"[0-9][^A-Za-z]{5,}|@|＠|[(\[{]at[)\]}]|\sat\s\S+(?:\.|\s?[(\[{]?dot)", re.I)
 TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\w\s]|_")
 CUES = {"phone": "phone", "tel": "phone", "call": "phone", "fax": "phone", "mobile": "phone", "cell": "phone", "dial": "phone", "telefon": "phone", "mail": "email", "email": "email",
         "contact": "email", "write": "email", "ip": "ip", "host": "ip", "server": "ip", "address": "ip", "card": "card", "visa": "card", "mastercard": "card", "credit": "card", "amex": "card"}
@@ -197,8 +196,6 @@ def gradient(window: Window, gold: set[tuple[int, int, str]], weights: dict[str,
 
 def windows(text: str) -> Iterator[tuple[int, int]]:
     """Joined stretches around candidates."""
-    if not QUICK.search(text):
-        return
     held = None
     for m in TRIGGER.finditer(text):
         a, b = max(0, m.start() - BEFORE), min(len(text), m.end() + AFTER)

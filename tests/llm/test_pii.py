@@ -68,6 +68,23 @@ def test_added_spans(weights, text, want):
     assert [(k, text[a:b]) for a, b, k in pii.added_spans(text, pii.base_spans(text), weights)] == want
 
 
+@pytest.mark.parametrize(("kind", "s"), [("email", "bob.k@mail.example.com"), ("ip", "192.168.10.12"), ("ip", "10.20.30.40"), ("card", "4111111111111111"), ("phone", "+16405550953")])
+def test_every_rewritten_form_has_a_window(kind, s):
+    for pick in range(20):
+        for form in pii.variants(kind, s, pick):
+            for text in (form, f"so {form}\nand more"):
+                at = text.index(form)
+                assert any(a <= at and at + len(form) <= b for a, b in pii.windows(text)), form
+    assert list(pii.windows("10 dot 20 dot 30 dot 40"))
+
+
+@pytest.mark.parametrize("form", ["192[dot]168[dot]10[dot]12", "10(dot)20(dot)30(dot)40"])
+def test_an_address_is_found_whatever_else_the_text_holds(weights, form):
+    for more in ("", " or write to a@b.co", " since 1999-12-31"):
+        text = f"ip {form} is down{more}"
+        assert ("ip", form) in [(k, text[a:b]) for a, b, k in pii.added_spans(text, pii.base_spans(text), weights)]
+
+
 def test_best_labelling_equals_trying_all(weights):
     text = "tel 640-555-0953 or ann (at) mail.org, 10[.]2[.]3[.]4 and 4111.1111.1111.1111"
     w = pii.Window(text, 0, len(text))
