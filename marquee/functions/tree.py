@@ -2,6 +2,7 @@
 
 A page is read once by the standard library's parser into flat lists: no recursion, so that depth and length are bounded by memory
 alone. An end tag closes the nearest open element of its name and what is open inside it; one without an open element is ignored.
+An unknown marked section ends at the next >, as a comment does.
 """
 
 from __future__ import annotations
@@ -57,6 +58,13 @@ class Page(HTMLParser):
             if self._pop() == tag:
                 return
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """An unknown marked section is a bogus comment; the parser alone raises an error."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
     def _pop(self) -> str:
         i = self._stack.pop()
         self.end[i], self.texts[i][1] = len(self.name), len(self.text)

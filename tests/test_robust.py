@@ -44,6 +44,20 @@ def test_long_pages(spark, page):
     assert {r.artist for r in pages.stage_pages(df, P).select("artist").distinct().collect()} <= {"A"}
 
 
+@pytest.mark.parametrize("section", ["<![foo[x]]>", "<![ 5 >", "<![5", "<![", "<![foo", "<![foo[<b>]]>", "<![if x]>", "<![CDATA[x]]>"])
+def test_marked_sections_lose_no_page(spark, section):
+    card = "<div class='event-card'><h3>{}</h3><time datetime='2026-02-16'>x</time></div>"
+    rows = [("generic", html, "V", "S", i, f"o{i}", 0) for i, html in enumerate([card.format("A") + section, card.format("B"), section + "\n>" + card.format("C")])]
+    df = spark.createDataFrame(rows, "kind string, html string, page_venue string, source_name string, source_rank int, origin string, endpoint_rank int")
+    assert {"A", "B"} <= {r.artist for r in pages.stage_pages(df, P).collect()}
+
+
+def test_no_declaration_raises():
+    rng = random.Random(8)
+    for _ in range(20000):
+        Page("".join(rng.choice(["<!", "<![", "[", "]", "]]>", "]>", ">", "foo", "if", "cdata", " ", "5", "-", "--", "<", "</", "<p>", "doctype", "<?", "&", '"', "="]) for _ in range(rng.randint(1, 9))))
+
+
 def test_references(column):
     assert column(["&#x10FFFF;&#0000039;&#X27;&ntilde;&uuml;&#38;lt;&amp;lt;&#60&nope;&#55296;&#x110000;&#0;&#150;&#99999999999;&;&"], text.decode_entities) == [
         "\U0010FFFF''ñü&lt;&lt;<&nope;���–�&;&"]
