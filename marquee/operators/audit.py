@@ -33,6 +33,13 @@ def source_audit(staged: DataFrame, sources: DataFrame, run_ts: Column) -> DataF
         F.coalesce("error", F.when(F.col("success") & (found == 0), F.col("empty_message"))).alias("error")))
 
 
+def with_page_errors(sources: DataFrame, errors: DataFrame) -> DataFrame:
+    """The source dimension with what ``pages.page_errors`` says: a source of which a page failed has failed, with the message of the first such page."""
+    e = errors.select("source_rank", F.col("error").alias("page_error"))
+    return sources.join(e, "source_rank", "left").select(
+        "source_name", "source_rank", (F.col("success") & F.col("page_error").isNull()).alias("success"), F.coalesce("error", "page_error").alias("error"), "empty_message")
+
+
 def status_icon(success: Column, found: Column) -> Column:
     """By what was found; the health class below goes by what was kept."""
     return F.when(~success, "❌").when(found == 0, "⚠️").otherwise("✅")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marquee import config
 from marquee.config import RunParams
-from marquee.operators import audit, dedup, fallback, intake
+from marquee.operators import audit, dedup, fallback, intake, quarantine
 from marquee.plans import publish
 from marquee.schema import STAGED, to_listing
 from marquee.session import cut
@@ -37,7 +37,8 @@ class Landing:
     artifacts: str | None = None
     keep_hours: int | None = None              # read only artifacts not older than this
     responses: DataFrame | None = None
-    venue_pages: DataFrame | None = None       # venue_key, origin, html
+    venue_pages: DataFrame | None = None       # venue_key, origin, html; fetch_error where landing failed
+    profiles: DataFrame | None = None          # further page profiles
     failed_venues: dict[str, str] = field(default_factory=dict)   # venue_key -> message
     second_api: str | None = None
     marketplace: DataFrame | None = None       # origin, html
@@ -117,21 +118,52 @@ def _artifact_source(spark: SparkSession, landing: Landing, p: RunParams) -> Sou
 
 
 def _venue_sources(spark: SparkSession, landing: Landing, p: RunParams) -> list[Source]:
-    staged, broken = None, None
+    """All venues from one plan; a page that fails fails its own venue."""
+    staged, broken, failed = None, None, {}
     if landing.venue_pages is not None:
-        shared = guarded("", 0, lambda: pages.stage_pages(venues.venue_pages(landing.venue_pages), p).drop("endpoint_rank"), prefix="")
-        staged, broken = shared.staged, shared.error
+        try:
+            events = cut(pages.page_events(venues.venue_pages(landing.venue_pages), p.year, landing.profiles))
+            failed = {r["source_rank"]: r["error"] for r in pages.page_errors(events).where("n_failed > 0").collect()}  # at most one row for each venue
+            staged = materialised(pages.stage_events(events, p).drop("endpoint_rank"))
+        except Exception as e:  # the pages themselves cannot be read
+            broken = f"Parse error: {str(e)[:80]}"
     out = []
     for r in venues.calendar_sources(spark).orderBy("source_rank").collect():
         message = landing.failed_venues.get(r["venue_key"])
-        # all venues share one plan; it is attached to the first of them
-        error = f"Request failed: {message[:80]}" if message is not None else f"Parse error: {broken[:80]}" if broken else None
-        out.append(Source(r["source_name"], r["source_rank"], staged, success=error is None, error=error,
-                          empty_message=config.MSG_EMPTY_VENUE))
+        error = f"Request failed: {message[:80]}" if message is not None else broken or failed.get(r["source_rank"])
+        # the staged rows of all venues are attached to the first of them
+        out.append(Source(r["source_name"], r["source_rank"], staged, success=error is None, error=error, empty_message=config.MSG_EMPTY_VENUE))
         staged = None
     return out
 
 
+def bad_records(spark: SparkSession, landing: Landing, p: RunParams) -> DataFrame:
+    """What the adapters of a run cannot use (``quarantine.BAD``). A source that cannot be read at all has a failed audit row instead."""
+    def of_sheet() -> DataFrame:
+        found, _ = sheet.first_sheet(spark, landing.sheets)
+        return spark.createDataFrame([], quarantine.BAD) if found is None else sheet.bad_rows(found, p)
+
+    rank = venues.FIRST_RANK + len(config.VENUES)
+    makers = [of_sheet]
+    if landing.ticketing is not None:
+        makers.append(lambda: api.bad_ticketing(api.read_payloads(spark, landing.ticketing)))
+    if landing.second_api is not None:
+        makers.append(lambda: api.bad_second(api.read_payloads(spark, landing.second_api), rank))
+    if landing.venue_pages is not None:
+        makers.append(lambda: pages.bad_scripts(venues.venue_pages(landing.venue_pages)))
+    for n, (kind, name, df) in enumerate([("marketplace", config.MARKETPLACE, landing.marketplace), ("city_page", config.CITY_PAGE, landing.city_page),
+                                          ("newspaper", config.NEWSPAPER, landing.newspaper)], 1):
+        if df is not None:
+            makers.append(lambda df=df, kind=kind, name=name, n=n: pages.bad_scripts(venues.tagged_pages(df, kind, name, rank + n)))
+    parts = []
+    for make in makers:
+        try:
+            parts.append(cut(make()))
+        except Exception:  # noqa: S112  its audit row says why
+            continue
+    return quarantine.union(spark, parts)
+
+
 @dataclass
 class Run:
     """What a run yields: tables, not yet written anywhere."""
@@ -142,6 +174,7 @@ class Run:
     audit: DataFrame
     deduped: DataFrame
     totals: DataFrame
+    bad: DataFrame | None = None
 
 
 def assemble(spark: SparkSession, sources: list[Source], p: RunParams) -> Run:
@@ -160,9 +193,13 @@ def assemble(spark: SparkSession, sources: list[Source], p: RunParams) -> Run:
     return Run(p, listing, staged, rows, deduped, audit.run_totals(rows, deduped))
 
 
-def write(run: Run, out: str) -> None:
-    """Write the marts and documents under ``out``; each document is its part files in order."""
-    p = run.params
+def write(run: Run, out: str) -> dict[str, int]:
+    """Write the marts and documents under ``out``; each document is its part files in order. Returns the number of bad records by reason."""
+    p, seen = run.params, {}
+    if run.bad is not None:
+        bad, counts = quarantine.counted(run.bad)
+        bad.write.mode("overwrite").parquet(f"{out}/bad_records")
+        seen = dict(counts.get)
     # the place of an act in its block depends on the plan that found it: not part of the mart
     run.deduped.drop("slot").write.mode("overwrite").partitionBy("date").parquet(f"{out}/listing")
     run.audit.write.mode("overwrite").parquet(f"{out}/audit")
@@ -176,11 +213,13 @@ def write(run: Run, out: str) -> None:
     publish.run_log(p, run.totals, run.audit, run.deduped).write.mode("overwrite").text(f"{out}/log")
     publish.json_feed(p, run.deduped).write.mode("overwrite").text(f"{out}/feed")
     publish.stamps(p, run.deduped.sparkSession).write.mode("overwrite").parquet(f"{out}/stamps")
+    return seen
 
 
 def run_daily(spark: SparkSession, landing: Landing, p: RunParams, out: str | None = None) -> Run:
     """A whole run; without ``out`` it is a dry run that writes nothing."""
     run = assemble(spark, collect_sources(spark, landing, p), p)
+    run.bad = bad_records(spark, landing, p)
     if out is not None:
         write(run, out)
     return run

@@ -319,6 +319,21 @@ _FAN = ", ".join(f"({i + 3}, {q(v[0])}, {q('Venue: ' + v[1])}, {q(v[4])})" for i
 ORACLES["venue_fanout"] = f"""SELECT v.name AS source_name, v.rank AS source_rank, true AS success, count(*) FILTER (WHERE hit) AS events_found, count(*) FILTER (WHERE hit AND page_id % 12 <= 7) AS events_after_filter,
  count(*) FILTER (WHERE hit AND page_id % 12 > 7) AS events_filtered, CASE WHEN count(*) FILTER (WHERE hit) = 0 THEN '0 events parsed — page structure may have changed' END AS error
  FROM (SELECT *, kind NOT IN ('hi_tone', 'minglewood', 'hernandos') AND {element("coalesce(raw_title, '')")} <> '' AS hit FROM (VALUES {_FAN}) v(rank, key, name, kind) LEFT JOIN ({TITLED}) p ON {pick(_KEYS, 'p.page_id')} = v.key) v GROUP BY v.name, v.rank"""
+ORACLES["venue_errors"] = f"""WITH p AS (SELECT *, (page_id % 11)::INTEGER AS n, {element("coalesce(raw_title, '')")} <> '' AS hit, lpad(page_id::VARCHAR, 12, '0') AS origin FROM ({TITLED})),
+ e AS (SELECT *, CASE WHEN n = 5 OR page_id % 22 = 4 THEN 'Request failed: 404 for page ' || page_id WHEN n = 7 THEN 'Parse error: no profile unheard_of'
+  WHEN n = 2 THEN 'Parse error: ValueError: selector ' || chr(39) || '>>' || chr(39) END AS error FROM p)
+ SELECT n + 3 AS source_rank, 'Source ' || n AS source_name, count(error) = 0 AS success, count(*) FILTER (WHERE error IS NULL AND hit) AS events_found,
+ count(*) FILTER (WHERE error IS NULL AND hit AND page_id % 12 <= 7) AS events_after_filter, count(*) FILTER (WHERE error IS NULL AND hit AND page_id % 12 > 7) AS events_filtered,
+ coalesce(min_by(error, origin) FILTER (WHERE error IS NOT NULL), CASE WHEN count(*) FILTER (WHERE hit) = 0 THEN '0 events parsed — page structure may have changed' END) AS error,
+ count(*) AS n_pages, count(error) AS n_failed FROM e GROUP BY n"""
+ORACLES["bad_records"] = """SELECT 'Ticketmaster' AS source_name, 0 AS source_rank, o_orderkey::VARCHAR AS origin, CASE WHEN o_orderkey % 7 > 0 THEN 1 END::BIGINT AS pos,
+ ['not JSON', 'no name', 'no date', 'bad date'][o_orderkey % 7 + 1] AS reason FROM orders WHERE o_orderkey % 7 < 4
+ UNION ALL SELECT 'Manual (Google Sheet)', 1, 'orders', o_orderkey, ['too few cells', 'too many cells', 'no date', 'no name', 'bad date'][o_orderkey % 6 + 1] FROM orders WHERE o_orderkey % 6 < 5
+ UNION ALL SELECT 'Pages', 5, page_id::VARCHAR, 1, CASE page_id % 4 WHEN 0 THEN 'not JSON' ELSE 'value of a wrong type' END FROM pages WHERE page_id % 4 < 3
+ UNION ALL SELECT 'Pages', 5, page_id::VARCHAR, 2, 'not JSON' FROM pages WHERE page_id % 3 = 0"""
+ORACLES["page_state_order"] = """SELECT p_partkey::VARCHAR AS origin, name || ' ' || p_partkey || ' "q" {x}' AS artist, pos::BIGINT AS pos, url, n FROM part,
+ (VALUES (0, 'Act', 0, '/z', 2::BIGINT), (0, 'Other', 2, '/a', 1), (1, 'Act', 0, '/m', 2), (1, 'Other', 1, '/a', 1), (2, 'Act', 1, '/z', 2), (2, 'Other', 0, '/a', 1)) v(k, name, pos, url, n)
+ WHERE k = p_partkey % 3"""
 ORACLES["page_links"] = """SELECT page_id, (i - 1)::INTEGER AS pos, CASE WHEN starts_with(href, 'http') THEN href WHEN href <> '' THEN 'https://base.example' || href END AS link
  FROM (SELECT page_id, unnest(h) AS href, generate_subscripts(h, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '<li><a href="([^"]*)">', 1) AS h FROM pages))"""
 ORACLES["page_text"] = f"""SELECT page_id, md5({element("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")}) AS h1_md5, md5({esc("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}) AS title_md5 FROM pages"""

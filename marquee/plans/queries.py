@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from marquee import config
 from marquee.config import RunParams
 from marquee.functions import dates, markup, text
-from marquee.operators import audit, dedup, fallback, intake, overrides, rules, venues
+from marquee.operators import audit, dedup, fallback, intake, overrides, quarantine, rules, venues
 from marquee.plans import publish
-from marquee.sources import api, artifacts, pages, runlog, sheet
-from marquee.session import spread
+from marquee.session import cut, spread
+from marquee.sources import api, artifacts, pages, profiles, runlog, sheet
 from marquee.sources import venues as calendars
 
 P = RunParams(datetime.date(2026, 2, 15), 7, "2026-02-15 05:58:42")
@@ -392,7 +392,7 @@ def json_walk(spark, sf):
     """All values of a nested document built around each event's properties, with their place in the walk."""
     e = table(spark, sf, "events", heavy=True)
     doc = F.concat(F.lit('{"a":['), F.col("props"), F.lit(","), F.col("event_id"), F.lit('],"b":{"c":'), F.col("props"), F.lit("}}"))
-    nodes = e.select("event_id", F.posexplode(pages.walk_json(F.try_parse_json(doc))).alias("n", "node"))
+    nodes = e.select("event_id", F.posexplode(pages.walk_json(doc)).alias("n", "node"))
     return nodes.select("event_id", "n", F.try_variant_get("node.v", "$", "string").alias("value"))
 
 
@@ -553,6 +553,79 @@ def venue_fanout(spark, sf):
     return audit.source_audit(staged, F.broadcast(src), F.lit(P.run_ts)).drop("run_ts")
 
 
+#: A site without code: a row of the profile table; the second row's selector cannot be read.
+OWN_PROFILES = [
+    profiles.Profile("own_rows", (".gig",), title=".gig-name", date="time", date_attr="prefer", link="a", link_rule="prefix", base_url="https://own.example", fixed_venue=True),
+    profiles.Profile("own_broken", (".gig >> [",), title="h3", date="time", fixed_venue=True),
+]
+
+
+@query
+def venue_errors(spark, sf):
+    """Eleven sources from one plan over all pages, some of whose pages fail: not fetched, of a kind without a profile, or under a selector that cannot be read."""
+    d = titled_pages(spark, sf)
+    n = (F.col("page_id") % 11).cast("int")
+    own = profiles.profile_rows(OWN_PROFILES)
+    card = F.concat(F.lit('<div class="event-item gig"><h3 class="gig-name">'), F.col("raw_title"), F.lit('</h3><a href="/g">x</a><time datetime="'), F.col("day"), F.lit('">x</time></div>'))
+    kind = F.when(n == 2, "own_broken").when(n == 7, "unheard_of").when(n % 3 == 0, "own_rows").otherwise("generic")
+    name = F.concat(F.lit("Source "), n)
+    x = d.select(kind.alias("kind"), F.concat("html", card).alias("html"), F.lit("Growlers").alias("page_venue"), name.alias("source_name"), (n + 3).alias("source_rank"),
+                 F.lpad(F.col("page_id").cast("string"), 12, "0").alias("origin"), F.lit(0).alias("endpoint_rank"),
+                 F.when((n == 5) | (F.col("page_id") % 22 == 4), F.concat(F.lit("404 for page "), "page_id")).alias("fetch_error"))
+    events = cut(pages.page_events(x, P.year, spark.createDataFrame(own, profiles.SCHEMA)))
+    errors = pages.page_errors(events)
+    sources = d.select((n + 3).alias("source_rank"), name.alias("source_name")).distinct().select(
+        "source_name", "source_rank", F.lit(True).alias("success"), F.lit(None).cast("string").alias("error"), F.lit(config.MSG_EMPTY_VENUE).alias("empty_message"))
+    rows = audit.source_audit(pages.stage_events(events, P), audit.with_page_errors(sources, errors), F.lit(P.run_ts)).drop("run_ts")
+    return rows.join(errors.select("source_rank", "n_pages", "n_failed"), "source_rank")
+
+
+@query
+def bad_records(spark, sf):
+    """What adapters cannot use: API payloads and spreadsheet rows built from orders, scripts placed in whole pages."""
+    o = table(spark, sf, "orders", heavy=True)
+    k = F.col("o_orderkey")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+
+    def event(name: Column, day: Column) -> Column:
+        return F.struct(name.alias("name"), F.struct(F.struct(day.alias("localDate")).alias("start")).alias("dates"))
+
+    body = F.to_json(F.struct(F.struct(F.array(event(F.col("o_orderpriority"), day), event(F.when(k % 7 != 1, F.col("o_orderpriority")).otherwise(" "), F.when(k % 7 == 2, F.lit(None)).when(k % 7 == 3, "soon").otherwise(day))).alias("events")).alias("_embedded")))
+    body = F.when(k % 7 == 0, F.substring(body, F.lit(1), F.length(body) - 3)).otherwise(body)
+    line = (F.when(k % 6 == 0, F.concat(day, F.lit(","), "o_orderpriority")).when(k % 6 == 1, F.concat(day, F.lit(","), "o_orderpriority", F.lit(",shell,9 PM,a,b")))
+            .when(k % 6 == 2, F.concat(F.lit(","), "o_orderpriority", F.lit(",shell,,"))).when(k % 6 == 3, F.concat(day, F.lit(", ,shell,,")))
+            .when(k % 6 == 4, F.concat(F.lit("some day,"), "o_orderpriority", F.lit(",shell,,"))).otherwise(F.concat(day, F.lit(","), "o_orderpriority", F.lit(",shell,,"))))
+    rows = sheet.parse_lines(o.select(F.lit("orders").alias("origin"), k.alias("pos"), line.alias("line")), ["Event Date", "Act", "Place", "Doors", "Notes"])
+    d = table(spark, sf, "pages", heavy=True)
+    n = F.col("page_id")
+    script = F.concat(F.lit('<script type="application/ld+json">{"@type":"Event","name":"'), n, F.lit('","startDate":"2026-02-16"}</script><script type="application/ld+json">'),
+                      F.when(n % 4 == 0, "{cut off").when(n % 4 == 1, '[{"@type":"Event","name":5},{}]').when(n % 4 == 2, '{"@graph":[{"@type":"Event","name":"a"},7]}').otherwise("[]"),
+                      F.lit('</script><script id="__NEXT_DATA__">'), F.when(n % 3 == 0, "{").otherwise('{"a":[]}'), F.lit("</script><article>"))
+    x = d.select(F.replace("html", F.lit("<article>"), script).alias("html"), F.lit("Pages").alias("source_name"), F.lit(5).alias("source_rank"), n.cast("string").alias("origin"))
+    bad = quarantine.union(spark, [api.bad_ticketing(o.select(k.cast("string").alias("origin"), body.alias("body"))), sheet.bad_rows(rows, P), pages.bad_scripts(x)])
+    return bad.select("source_name", "source_rank", "origin", "pos", "reason")
+
+
+@query
+def page_state_order(spark, sf):
+    """Page state whose members are not in order of their names; which of two equal acts is the first depends on how it is written."""
+    d = table(spark, sf, "part", heavy=True)
+    k = F.col("p_partkey")
+    day = F.date_format(_plus(F.col("p_size") % 8), "yyyy-MM-dd")
+
+    def member(key: str, name: str, path: str) -> Column:
+        return F.concat(F.lit(f'"{key}":{{"more":[{{"url":"{path}","name":"{name} '), k, F.lit(' \\"q\\" {x}","startDate":"'), day, F.lit('T20:00:00Z","@type":"Event"}]}'))
+
+    z, m, a = member("z", "Act", "/z"), member("m", "Act", "/m"), member("a", "Other", "/a")
+    comma = F.lit(",")
+    body = F.when(k % 3 == 0, F.concat(z, comma, m, comma, a)).when(k % 3 == 1, F.concat(m, comma, a, comma, z)).otherwise(F.concat(a, comma, z, comma, m))
+    html = F.concat(F.lit('<p>x</p><script id="__NEXT_DATA__" type="application/json">{"props":{'), body, F.lit("}}</script>"))
+    x = d.select(F.lit("marketplace").alias("kind"), html.alias("html"), F.lit(None).cast("string").alias("page_venue"), F.lit("M").alias("source_name"),
+                 F.lit(5).alias("source_rank"), k.cast("string").alias("origin"), F.lit(0).alias("endpoint_rank"))
+    rows = pages.stage_pages(x, P)
+    return rows.groupBy("origin", "artist").agg(F.min("pos").alias("pos"), F.min_by("url", "pos").alias("url"), F.count(F.lit(1)).alias("n"))
+
+
 @query
 def page_links(spark, sf):
     d = table(spark, sf, "pages")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marquee import config
 from marquee.functions import dates, text
+from marquee.operators import quarantine
 from marquee.operators.rules import is_music
 from marquee.operators.venues import canonical_venue
 
@@ -76,3 +77,22 @@ def stage_second(payloads: DataFrame, rank: int) -> DataFrame:
     rows = rows.withColumn("music", is_music(F.col("artist"), F.col("category"), F.col("summary")))
     return _finish(rows.select("*", (parsed & F.col("music")).alias("kept"),
                                (parsed & ~F.col("music")).alias("filtered")), config.SECOND_API, rank)
+
+
+def _bad(payloads: DataFrame, schema: str, path: str, name: str, day: str, parse, source: str, rank: int) -> DataFrame:  # noqa: ANN001
+    """Payloads that are no JSON, and events without a name or a date; one scan."""
+    rows = payloads.select("origin", "body", F.try_parse_json("body").isNull().alias("broken"), F.from_json("body", schema).alias("doc"))
+    rows = rows.select("origin", "broken", F.when(F.col("broken"), F.col("body")).alias("body"), F.posexplode_outer(f"doc.{path}").alias("pos", "e"))
+    reason = F.when(F.col("broken"), quarantine.NOT_JSON).when(F.col("pos").isNotNull(), quarantine.missing(text.squeeze_ends(F.col(name)), F.col(day), parse(F.col(day))))
+    rows = rows.withColumn("pos", F.when(~F.col("broken"), F.col("pos")))
+    return quarantine.bad_rows(rows, reason, F.coalesce(F.col("body"), F.to_json("e")), F.lit(source), F.lit(rank))
+
+
+def bad_ticketing(payloads: DataFrame, rank: int = 0) -> DataFrame:
+    """What ``stage_ticketing`` cannot use."""
+    return _bad(payloads, TICKETING_SCHEMA, "_embedded.events", "e.name", "e.dates.start.localDate", dates.strict_day, config.TICKETING_API, rank)
+
+
+def bad_second(payloads: DataFrame, rank: int) -> DataFrame:
+    """What ``stage_second`` cannot use."""
+    return _bad(payloads, SECOND_SCHEMA, "events", "e.name.text", "e.start.local", dates.iso_date, config.SECOND_API, rank)

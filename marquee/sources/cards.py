@@ -2,30 +2,32 @@
 
 Selectors on nested elements have no form as JVM expressions over text, so cards are read in an Arrow-batched Python function of one page.
 It returns texts only; dates, venues and rules stay with Spark. A page that lacks the words of all of its profile's selectors is not parsed.
+What goes wrong with one page is that page's ``error``, beside the cards of all others.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from marquee.functions.tree import Page, Selector
-from marquee.sources.profiles import PROFILES, Profile
 
 CARD = "struct<rank:int,title:string,stamp:string,date:string,time:string,venue:string,link:string>"
 
 
 class Reader:
-    """The selectors of one profile."""
+    """The selectors of one profile, given as a row of the profile table's ``layout``."""
 
-    def __init__(self, p: Profile):
-        self.p = p
-        self.strategies = [Selector(s) for s in p.strategies]
+    def __init__(self, layout: str):
+        p = json.loads(layout)
+        self.strategies = [Selector(s) for s in p["strategies"]]
         self.stems = {t for s in self.strategies for t in s.stems()}
-        self.title, self.title_else, self.date, self.venue, self.link = (Selector(s) for s in (p.title, p.title_else, p.date, p.venue, p.link))
-        self.times = [Selector(s) for s in p.times]
+        self.title, self.title_else, self.date, self.venue, self.link = (Selector(p.get(f) or "") for f in ("title", "title_else", "date", "venue", "link"))
+        self.times = [Selector(s) for s in p.get("times") or ()]
+        self.every, self.link_from, self.link_rule = bool(p.get("yield_mode")), p.get("link_from"), p.get("link_rule")
 
     def cards(self, html: str) -> Iterator[tuple]:
         """Cards of the first strategy that finds any, or of all of them, as ``CARD``; a card inside a card is one of its own."""
@@ -34,15 +36,17 @@ class Reader:
             return
         page = Page(html)
         fields = {name: getattr(self, name).all(page) for name in ("title", "title_else", "date", "venue", "link")}
+        fields["anchors"] = page.named("a")
         times = [t.all(page) for t in self.times]
         for rank, strategy in enumerate(self.strategies):
             found = strategy.all(page)
             yield from (self.read(page, i, rank, fields, times) for i in found)
-            if found and not self.p.yield_mode:
+            if found and not self.every:
                 return
 
     def read(self, page: Page, card: int, rank: int, fields: dict[str, list[int]], times: list[list[int]]) -> tuple:
-        at = {name: page.first_of(found, card) for name, found in fields.items()}
+        at = {name: page.first_of(found, card) for name, found in fields.items() if name != "anchors"}
+        anchors = fields["anchors"]
         title = at["title_else"] if at["title"] is None else at["title"]
         time = next((t for found in times if (t := page.first_of(found, card)) is not None), None)
 
@@ -50,35 +54,37 @@ class Reader:
             return None if i is None else page.text_of(i)
 
         stamp = None if at["date"] is None else page.attrs[at["date"]].get("datetime")
-        return rank, text(title), stamp, text(at["date"]), text(time), text(at["venue"]), self.address(page, card, title, at["link"]) or None
+        return rank, text(title), stamp, text(at["date"]), text(time), text(at["venue"]), self.address(page, card, title, at["link"], anchors) or None
 
-    def address(self, page: Page, card: int, title: int | None, link: int | None) -> str | None:
-        if self.p.link_from == "title":
+    def address(self, page: Page, card: int, title: int | None, link: int | None, anchors: list[int]) -> str | None:
+        if self.link_from == "title":
             if title is None or page.name[title] == "a":
                 return None if title is None else page.attrs[title].get("href")
-            inner = next((i for i in range(title + 1, page.end[title]) if page.name[i] == "a"), None) if self.p.link_rule == "prefix" else None
+            inner = page.first_of(anchors, title) if self.link_rule == "prefix" else None
             return None if inner is None else page.attrs[inner].get("href")
-        own = page.attrs[card].get("href") if self.p.link_from == "own" else None
+        own = page.attrs[card].get("href") if self.link_from == "own" else None
         return own or (None if link is None else page.attrs[link].get("href"))
 
 
-def read_cards(kind: Column, html: Column) -> Column:
-    """Array of ``CARD``; a null page has none."""
-    @F.pandas_udf(f"array<{CARD}>")
-    def cards(kinds, pages):  # noqa: ANN001, ANN202
+def read_cards(layout: Column, html: Column) -> Column:
+    """struct<cards array of ``CARD``, error>; a null page has none, and the cards before an error are not kept either."""
+    @F.pandas_udf(f"struct<cards:array<{CARD}>,error:string>")
+    def cards(layouts, pages):  # noqa: ANN001, ANN202
         import pandas as pd
 
         readers: dict[str, Reader] = {}
-        by_kind = {p.kind: p for p in PROFILES}
         names = ("rank", "title", "stamp", "date", "time", "venue", "link")
 
-        def one(kind: str | None, page: str | None) -> list[dict]:
-            if page is None or kind not in by_kind:
-                return []
-            if kind not in readers:
-                readers[kind] = Reader(by_kind[kind])
-            return [dict(zip(names, c, strict=True)) for c in readers[kind].cards(page)]
+        def one(layout: str | None, page: str | None) -> tuple[list[dict], str | None]:
+            if page is None or layout is None:
+                return [], None
+            try:
+                if layout not in readers:
+                    readers[layout] = Reader(layout)
+                return [dict(zip(names, c, strict=True)) for c in readers[layout].cards(page)], None
+            except Exception as e:  # of this page alone: it is reported, the others go on
+                return [], f"{type(e).__name__}: {e}"
 
-        return pd.Series([one(k, h) for k, h in zip(kinds, pages, strict=True)])
+        return pd.DataFrame([one(k, h) for k, h in zip(layouts, pages, strict=True)], columns=["cards", "error"])
 
-    return cards(kind, html)
+    return cards(layout, html)

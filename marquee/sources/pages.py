@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from marquee import config
 from marquee.config import RunParams
 from marquee.functions import dates, markup, text
+from marquee.operators import quarantine
 from marquee.operators.rules import in_window, is_music
 from marquee.operators.venues import canonical_venue, venue_or_tba
 from marquee.sources.cards import read_cards
@@ -22,6 +23,7 @@ from marquee.sources.profiles import PROFILE_FIELDS, profile_dim
 EVENT = "struct<artist:string,venue:string,date:date,time:string,url:string>"
 EVENT_TYPES = ["Event", "MusicEvent"]
 EMPTY = f"array<{EVENT}>"
+NODES = "array<struct<path:string,v:variant,raw:string>>"
 
 
 def _event(artist: Column, venue: Column, day: Column, time: Column, url: Column) -> Column:
@@ -107,24 +109,30 @@ def jsonld_events(html: Column, default_venue: Column | None, graph: Column, dat
     return F.when(F.contains(html, F.lit("ld+json")), F.flatten(F.transform(scripts, block))).otherwise(_no_events())
 
 
-def walk_json(root: Column, depth: int = 10) -> Column:
-    """All values of a JSON document down to ``depth``, depth first, as array<struct<path, v>>.
+def walk_json(source: Column, depth: int = 10) -> Column:
+    """All values of a JSON text down to ``depth``, depth first and members as written, as array<struct<path, v, raw>>.
 
-    The levels are unrolled by one fold inside the row; object members come in key order.
+    The levels are unrolled by one fold inside the row. A parsed object has lost the order of its members; so each node also keeps its text, whose
+    members a map reads in order. Text that is no JSON gives one null node.
     """
     def children(node: Column) -> Column:
         many = F.try_variant_get(node["v"], "$", "array<variant>")
-        members = F.map_values(F.try_variant_get(node["v"], "$", "map<string,variant>"))
-        kids = F.coalesce(many, members, F.array().cast("array<variant>"))
-        return F.transform(kids, lambda k, i: F.struct(
-            F.concat(node["path"], F.lpad(i.cast("string"), 8, "0"), F.lit(".")).alias("path"), k.alias("v")))
+        members = F.try_variant_get(node["v"], "$", "map<string,variant>")
 
-    start = F.array(F.struct(F.lit("").alias("path"), root.alias("v")))
+        def place(i: Column) -> Column:
+            return F.concat(node["path"], F.lpad(i.cast("string"), 8, "0"), F.lit(".")).alias("path")
+
+        named = F.transform(F.map_entries(F.from_json(node["raw"], "map<string,string>")), lambda m, i: F.struct(
+            place(i), F.element_at(members, m["key"]).alias("v"), m["value"].alias("raw")))
+        listed = text.let(F.from_json(node["raw"], "array<string>"), lambda raws: F.transform(many, lambda k, i: F.struct(
+            place(i), k.alias("v"), F.get(raws, i).alias("raw"))))
+        return F.when(many.isNotNull(), listed).when(members.isNotNull(), named).otherwise(F.array().cast(NODES))
+
+    start = F.array(F.struct(F.lit("").alias("path"), F.try_parse_json(source).alias("v"), source.alias("raw"))).cast(NODES)
     acc = F.struct(start.alias("seen"), start.alias("edge"))
 
     def down(a: Column, _: Column) -> Column:
-        nxt = F.flatten(F.transform(a["edge"], children))
-        return F.struct(F.concat(a["seen"], nxt).alias("seen"), nxt.alias("edge"))
+        return text.let(F.flatten(F.transform(a["edge"], children)).cast(NODES), lambda nxt: F.struct(F.concat(a["seen"], nxt).alias("seen"), nxt.alias("edge")))
 
     def in_order(seen: Column) -> Column:
         keys = F.array_sort(F.transform(seen, lambda n, i: F.struct(n["path"].alias("path"), i.alias("i"))))
@@ -135,15 +143,15 @@ def walk_json(root: Column, depth: int = 10) -> Column:
 
 def page_state_events(html: Column) -> Column:
     """Events anywhere in a page's embedded state: objects with a name and a date that are also typed events."""
-    root = F.try_parse_json(F.regexp_extract(html, markup.SCRIPT_STATE, 1))
+    state = F.regexp_extract(html, markup.SCRIPT_STATE, 1)
 
     def is_candidate(node: Column) -> Column:
         v = node["v"]
         return _field(v, "$.name").isNotNull() & (_field(v, "$.startDate").isNotNull() | _field(v, "$.date").isNotNull())
 
-    nodes = F.filter(walk_json(root), is_candidate)
+    nodes = F.filter(walk_json(state), is_candidate)
     found = _usable(F.transform(nodes, lambda n: structured_event(n["v"], None, F.lit(True))))
-    return F.when(F.contains(html, F.lit("__NEXT_DATA__")) & root.isNotNull(), found).otherwise(_no_events())
+    return F.when(F.contains(html, F.lit("__NEXT_DATA__")) & F.try_parse_json(state).isNotNull(), found).otherwise(_no_events())
 
 
 _MONTH_DIGIT = r"(?:" + "|".join(m[:3] for m in config.MONTHS) + r")\s+\d"
@@ -216,35 +224,85 @@ def _attempts(application: str, year: int) -> tuple[Column, Column, Column, Colu
         html, F.when(cols["fixed_venue"], F.col("page_venue")), cols["jsonld_graph"], cols["jsonld_date_time"])).otherwise(_no_events())
     state = F.when(cols["page_state"] & (F.size("_ld") == 0), page_state_events(html)).otherwise(_no_events())
     none = (F.size("_city") + F.size("_ld") + F.size("_state")) == 0
-    return city, ld, state, read_cards(F.col("kind"), F.when(none, html)), card_events(F.col("_read"), cols, F.col("page_venue"), year)
+    return city, ld, state, read_cards(F.col("layout"), F.when(none, html)), card_events(F.col("_read.cards"), cols, F.col("page_venue"), year)
 
 
-def page_events(pages: DataFrame, year: int) -> DataFrame:
-    """``pages`` (kind, html, page_venue and any lineage) with ``events``, the array found by the page's profile.
+def page_events(pages: DataFrame, year: int, profiles: DataFrame | None = None) -> DataFrame:
+    """``pages`` (kind, html, page_venue and any lineage) with ``events``, the array found by the page's profile, and ``error``, why it
+    could not be read; a page with an error has no events and disturbs no other.
 
-    Order of attempts: saved city page, structured data, page state, cards; each only where the profile uses it.
+    Order of attempts: saved city page, structured data, page state, cards; each only where the profile uses it. ``profiles``: a table of further
+    profiles (``profiles.SCHEMA``), one row for each kind. A page may bring ``fetch_error``, the message of a landing step that failed. Pages of a kind
+    without a profile fail as well.
     """
     spark = pages.sparkSession
-    lineage = pages.columns
+    lineage = [c for c in pages.columns if c != "fetch_error"]
     city, ld, state, read, cards = _attempts(spark.sparkContext.applicationId, year)
-    p = profile_dim(spark).withColumnRenamed("kind", "_kind")
-    x = pages.join(F.broadcast(p), F.col("kind") == F.col("_kind"))
+    p = profile_dim(spark)
+    p = F.broadcast(p) if profiles is None else p.unionByName(profiles)  # eight rows; a table of unknown size is left to the planner
+    x = pages.join(p.withColumnRenamed("kind", "_kind"), F.col("kind") == F.col("_kind"), "left")
     x = x.withColumn("_city", city).withColumn("_ld", ld).withColumn("_state", state)
     x = x.withColumn("_read", read).withColumn("_card", cards)
     found = (F.when(F.size("_city") > 0, F.col("_city")).when(F.size("_ld") > 0, F.col("_ld"))
              .when(F.size("_state") > 0, F.col("_state")).otherwise(F.col("_card")))
-    city = F.size("_city") > 0
-    return x.select(*lineage, "source_text", "drop_outside", "apply_rules", city.alias("from_city"), found.alias("events"))
+    failed = F.col("fetch_error") if "fetch_error" in pages.columns else F.lit(None).cast("string")
+    error = (F.when(failed.isNotNull(), F.concat(F.lit("Request failed: "), F.substring(failed, 1, 80)))
+             .when(F.col("_kind").isNull(), F.concat(F.lit("Parse error: no profile "), F.coalesce("kind", F.lit("null"))))
+             .when(F.col("_read.error").isNotNull(), F.concat(F.lit("Parse error: "), F.substring("_read.error", 1, 80))))
+    return x.select(*lineage, "source_text", "drop_outside", "apply_rules", (F.size("_city") > 0).alias("from_city"),
+                    F.when(error.isNull(), found).otherwise(_no_events()).alias("events"), error.alias("error"))
 
 
-def stage_pages(pages: DataFrame, p: RunParams) -> DataFrame:
+def stage_pages(pages: DataFrame, p: RunParams, profiles: DataFrame | None = None) -> DataFrame:
     """Staged listings of web pages.
 
     ``pages``: kind, html, page_venue, source_name, source_rank, origin, endpoint_rank. Where a source has
     several endpoints only the first that yields any event is used.
     """
+    return stage_events(page_events(pages, p.year, profiles), p)
+
+
+def page_errors(events: DataFrame) -> DataFrame:
+    """What failed, out of ``page_events`` that have been cut or written (its listings are read from them as well): per source the number of its
+    pages, of those that failed, and the message of the first one."""
+    first = F.min(F.when(F.col("error").isNotNull(), F.struct("endpoint_rank", "origin", "error")))
+    return (events.groupBy("source_rank", "source_name").agg(F.count(F.lit(1)).alias("n_pages"), F.count("error").alias("n_failed"), first.alias("first"))
+            .select("source_rank", "source_name", "n_pages", "n_failed", F.col("first.origin").alias("origin"), F.col("first.error").alias("error")))
+
+
+def bad_scripts(pages: DataFrame) -> DataFrame:
+    """Embedded scripts that are no JSON or whose events end at a value of a wrong type; ``pos`` is the script's place in its page.
+
+    ``pages``: html, source_name, source_rank, origin. The state of a page, if it is bad, comes after its structured data.
+    """
+    def why(script: Column) -> Column:
+        def stops(item: Column) -> Column:
+            return F.coalesce(structured_event(item, None, F.lit(True))["stop"], F.lit(False)) | ~_is_object(item)
+
+        def widen(item: Column) -> Column:
+            return F.coalesce(F.try_variant_get(item, "$[\"@graph\"]", "array<variant>"), F.array(item))
+
+        return text.let(F.try_parse_json(script), lambda v: F.when(v.isNull(), quarantine.NOT_JSON).when(
+            F.exists(F.flatten(F.transform(_elements(v), widen)), stops), quarantine.WRONG_TYPE))
+
+    html = F.col("html")
+    scripts = F.when(F.contains(html, F.lit("ld+json")), F.regexp_extract_all(html, F.lit(markup.SCRIPT_JSONLD), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    state = F.when(F.contains(html, F.lit("__NEXT_DATA__")), F.regexp_extract_all(html, F.lit(markup.SCRIPT_STATE), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    found = F.concat(F.transform(scripts, lambda x: F.struct(x.alias("record"), why(x).alias("reason"))),
+                     F.transform(state, lambda x: F.struct(x.alias("record"), F.when(F.try_parse_json(x).isNull(), quarantine.NOT_JSON).alias("reason"))))
+    rows = pages.select("source_name", "source_rank", "origin", F.posexplode(found).alias("pos", "r"))
+    return quarantine.bad_rows(rows, F.col("r.reason"), F.col("r.record"), F.col("source_name"), F.col("source_rank"))
+
+
+def unread_pages(events: DataFrame) -> DataFrame:
+    """Pages with an error, out of ``page_events``."""
+    return quarantine.bad_rows(events.withColumn("pos", F.lit(None)), F.when(F.col("error").isNotNull(), quarantine.UNREAD), F.col("error"), F.col("source_name"), F.col("source_rank"))
+
+
+def stage_events(events: DataFrame, p: RunParams) -> DataFrame:
+    """Staged listings out of ``page_events``."""
     # the outer form keeps the planner from testing size(events) first, which would extract everything twice
-    ev = page_events(pages, p.year).select("*", F.posexplode_outer("events").alias("pos", "e")).drop("events")
+    ev = events.select("*", F.posexplode_outer("events").alias("pos", "e")).drop("events", "error")
     ev = ev.where(F.col("e").isNotNull())
     source = (F.when(F.col("source_text") == "", F.col("source_name"))
               .when(F.col("source_text") != "artifact", F.col("source_text"))

@@ -1,12 +1,13 @@
 """Page profiles: how listings are laid out on each kind of page.
 
-A profile lists ordered card strategies and one selector per field. Adding a site means adding an entry here and naming it in the venue
-dimension; the extraction plan does not change.
+A profile lists ordered card strategies and one selector per field, and is a row of the profile table. The entries here are the built-in rows; a site
+of its own is a further row of a table with ``SCHEMA``, without any code, named in the venue dimension. The extraction plan does not change.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -83,8 +84,16 @@ PROFILES = [
 
 PROFILE_FIELDS = [x.strip().split()[0] for x in FLAGS.split(",")][1:]
 SITE_PROFILES = ["hi_tone", "minglewood", "hernandos"]
+#: The profile table: flags, and ``layout``, a JSON object of strategies (an array) and selectors by the field names of ``Profile``.
+SCHEMA = FLAGS + ", layout string"
+LAYOUT = ("strategies", "title", "title_else", "date", "times", "venue", "link", "link_from", "link_rule", "yield_mode")
+
+
+def profile_rows(profiles: list[Profile]) -> list[tuple]:
+    """Rows of ``SCHEMA``."""
+    return [(*(getattr(p, f) for f in ["kind", *PROFILE_FIELDS]), json.dumps({k: v for k, v in asdict(p).items() if k in LAYOUT})) for p in profiles]
 
 
 def profile_dim(spark: SparkSession) -> DataFrame:
-    """The profiles' flags; selectors stay with the program."""
-    return spark.createDataFrame([tuple(getattr(p, f) for f in ["kind", *PROFILE_FIELDS]) for p in PROFILES], FLAGS)
+    """The built-in profiles as a table."""
+    return spark.createDataFrame(profile_rows(PROFILES), SCHEMA)

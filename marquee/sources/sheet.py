@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from marquee import config
 from marquee.config import RunParams
 from marquee.functions import dates, text
+from marquee.operators import quarantine
 from marquee.operators.rules import in_window
 from marquee.operators.venues import venue_or_tba
 
@@ -90,15 +91,8 @@ def first_sheet(spark: SparkSession, candidates: list[tuple[str, str]]) -> tuple
     return None, errors
 
 
-def stage_sheet(sheet: Sheet, p: RunParams, rank: int = 1) -> DataFrame:
-    """Listings of a spreadsheet; only rows inside the window count as found.
-
-    A row that lacks a cell one of the fields is looked up in is skipped. A row with more cells than headers is
-    kept only when every field is found under its first name.
-    """
-    if sheet.others:
-        parts = [stage_sheet(replace(sheet, others=()), p, rank), *(stage_sheet(x, p, rank) for x in sheet.others)]
-        return reduce(DataFrame.unionByName, parts)
+def _cells(sheet: Sheet, p: RunParams, rank: int) -> DataFrame:
+    """The fields of all rows; ``few`` and ``many`` say that a row cannot be read for its number of cells."""
     at = resolve_headers(sheet.header)
 
     def cell(field: str):
@@ -110,10 +104,33 @@ def stage_sheet(sheet: Sheet, p: RunParams, rank: int = 1) -> DataFrame:
     firsts = len(at) == len(HEADERS) and all(first for _, first in at.values())
     readable = F.col(CORRUPT).isNull() | F.when(cells > width, F.lit(firsts)).otherwise(cells > needed)
     day = dates.parse_sheet_date(cell("date"), p.year)
-    rows = sheet.rows.where(readable).select(
+    return sheet.rows.select(
+        (~readable & (cells < width)).alias("few"), (~readable & (cells >= width)).alias("many"),
+        F.coalesce(CORRUPT, F.concat_ws(",", *[f"c{i}" for i in range(width)])).alias("record"), cell("date").alias("raw_date"),
         cell("artist").alias("artist"), venue_or_tba(cell("venue")).alias("venue"), day.alias("date"),
         text.blank_to_null(cell("time")).alias("time"),
         text.source_label("Manual", cell("note"), config.SHEET).alias("source"), F.lit(None).cast("string").alias("url"),
         F.lit(sheet.source_name).alias("source_name"), F.lit(rank).alias("source_rank"), "origin", F.col("pos").cast("long").alias("pos"))
+
+
+def stage_sheet(sheet: Sheet, p: RunParams, rank: int = 1) -> DataFrame:
+    """Listings of a spreadsheet; only rows inside the window count as found.
+
+    A row that lacks a cell one of the fields is looked up in is skipped. A row with more cells than headers is
+    kept only when every field is found under its first name.
+    """
+    if sheet.others:
+        parts = [stage_sheet(replace(sheet, others=()), p, rank), *(stage_sheet(x, p, rank) for x in sheet.others)]
+        return reduce(DataFrame.unionByName, parts)
     ok = F.coalesce((F.col("artist") != "") & in_window(F.col("date"), p), F.lit(False))
-    return rows.where(ok).select("*", F.lit(True).alias("found"), F.lit(True).alias("kept"), F.lit(False).alias("filtered"))
+    rows = _cells(sheet, p, rank).where(~F.col("few") & ~F.col("many") & ok).drop("few", "many", "record", "raw_date")
+    return rows.select("*", F.lit(True).alias("found"), F.lit(True).alias("kept"), F.lit(False).alias("filtered"))
+
+
+def bad_rows(sheet: Sheet, p: RunParams, rank: int = 1) -> DataFrame:
+    """Rows that ``stage_sheet`` cannot read: cells that do not fit the header, no artist, no date or none that can be read."""
+    parts = [_cells(x, p, rank) for x in (replace(sheet, others=()), *sheet.others)]
+    rows = reduce(DataFrame.unionByName, parts)
+    reason = (F.when(F.col("few"), quarantine.FEW_CELLS).when(F.col("many"), quarantine.MANY_CELLS)
+              .otherwise(quarantine.missing(F.col("artist"), F.col("raw_date"), F.col("date"))))
+    return quarantine.bad_rows(rows, reason, F.col("record"), F.col("source_name"), F.col("source_rank"))

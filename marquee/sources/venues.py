@@ -24,10 +24,11 @@ def calendar_sources(spark) -> DataFrame:
 
 
 def venue_pages(pages: DataFrame) -> DataFrame:
-    """Landed pages (venue_key, origin, html) as input of ``pages.stage_pages``."""
+    """Landed pages (venue_key, origin, html and, where landing failed, fetch_error) as input of ``pages.page_events``."""
     dim = F.broadcast(calendar_sources(pages.sparkSession).drop("calendar_url"))
+    failed = ["fetch_error"] if "fetch_error" in pages.columns else []
     return pages.join(dim, "venue_key").select("kind", "html", "page_venue", "source_name", "source_rank", "origin",
-                                               F.lit(0).alias("endpoint_rank"))
+                                               F.lit(0).alias("endpoint_rank"), *failed)
 
 
 def tagged_pages(pages: DataFrame, kind: str, source_name: str, rank: int) -> DataFrame:
