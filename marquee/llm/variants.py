@@ -167,22 +167,24 @@ def near_pairs(words: DataFrame) -> DataFrame:
     shared = words.sparkSession.sparkContext.broadcast(Grams({r["g"]: r["n"] for r in counts.collect()}))  # two signs of an alphabet of 90
     ints = {x: pa.int32() for x in ("kind", "len_a", "len_b", "last_a", "last_b", "head", "tail")} | {"key": pa.int64(), "a": pa.string(), "b": pa.string()}
 
-    def rows(make: Callable[[Grams, str, str], Iterator[tuple]], ddl: str) -> DataFrame:
+    def rows(some: DataFrame, make: Callable[[Grams, str, str], Iterator[tuple]], ddl: str) -> DataFrame:
         schema = pa.schema([(x, ints[x]) for x in (c.split()[0] for c in ddl.split(", "))])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from in_batches((x for word, ref in rows_of(batches) for x in make(shared.value, word, ref)), schema, 8192)
 
-        return words.mapInArrow(run, ddl)
+        return some.mapInArrow(run, ddl)
 
-    shared_key = rows(probes, PROBES).join(rows(entries, ENTRIES), "key").where(
-        (F.abs(F.col("len_a") - F.col("len_b")) <= 1)
-        & ((F.col("last_a") < F.col("last_b")) | ((F.col("last_a") == F.col("last_b")) & (F.col("a") < F.col("b")))))
-    inline = (F.col("len_a") <= INLINE) & (F.col("len_b") <= INLINE)
-    long = shared_key.where(~inline)
+    def shared_key(some: DataFrame) -> DataFrame:
+        return rows(some, probes, PROBES).join(rows(some, entries, ENTRIES), "key").where(
+            (F.abs(F.col("len_a") - F.col("len_b")) <= 1)
+            & ((F.col("last_a") < F.col("last_b")) | ((F.col("last_a") == F.col("last_b")) & (F.col("a") < F.col("b")))))
+
+    longer = words.where(F.length("word") >= INLINE)  # and those that a longer one can be near to
+    long = shared_key(longer).where(F.greatest("len_a", "len_b") > INLINE)
     for side in ("a", "b"):
-        long = long.join(words.where(F.length("word") >= INLINE).select(F.col("ref").alias(side), F.col("word").alias(f"word_{side}")), side)
-    both = shared_key.where(inline).select("a", "b", "kind", "head", "tail").unionByName(
+        long = long.join(longer.select(F.col("ref").alias(side), F.col("word").alias(f"word_{side}")), side)
+    both = shared_key(words.where(F.length("word") <= INLINE)).select("a", "b", "kind", "head", "tail").unionByName(
         long.select(F.col("word_a").alias("a"), F.col("word_b").alias("b"), "kind", "head", "tail"))
     at_kind = [F.expr(x) for x in ("startswith(b, left(a, head + 2 + (length(a) - head - 2) div 2))",
                                    "startswith(b, left(a, head + 2)) and endswith(b, substring(a, head + 3 + (length(a) - head - 2) div 2))",
