@@ -16,7 +16,9 @@ repeated rows come back as often; without any base span to learn from nothing is
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +29,11 @@ from pyspark.sql import functions as F
 from marquee.llm.common import fresh, in_batches, rows_of, table, texts
 
 KINDS = ("email", "ip", "card", "phone")
-LONGEST = 16
+LONGEST = 40
 SAMPLE_DOCS = 4_000
 SAMPLE_WINDOWS = 1_200
 BEFORE, AFTER = 48, 24
+LONGEST_WORD = 256
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -122,24 +125,43 @@ def features(kind: str, text: str, start: int, end: int) -> list[str]:
     return [f"{kind}:{x}" for x in f]
 
 
+class Taken:
+    """Spans that stay as they are, asked about by their starts and the furthest end up to each."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        spans = sorted(spans)
+        self.starts = [a for a, _ in spans]
+        self.furthest = list(itertools.accumulate((b for _, b in spans), max))
+
+    def overlaps(self, start: int, end: int) -> bool:
+        n = bisect_left(self.starts, end)
+        return n > 0 and self.furthest[n - 1] > start
+
+    def holds(self, start: int, end: int) -> bool:
+        """Whether one span has all of it."""
+        n = bisect_right(self.starts, start)
+        return n > 0 and self.furthest[n - 1] >= end
+
+
 class Window:
     """The words around candidates, and every candidate segment (first word, words, kind) with its features."""
 
-    def __init__(self, text: str, start: int, end: int, taken: list[tuple[int, int]] = []):  # noqa: B006
+    def __init__(self, text: str, start: int, end: int, taken: Taken = Taken([])):  # noqa: B008
         self.tokens = [m.span() for m in TOKEN.finditer(text, start, end)]
         self.segments: list[tuple[int, int, str, list[str]]] = []
         for i, (a, _) in enumerate(self.tokens):
             if not (text[a].isalnum() or text[a] in "+("):
                 continue
+            possible = [(kind, shape) for kind, shape in SHAPES.items() if shape.match(text, a, end)]  # what no text from here on fits needs no look at its ends
             has_digit = False
-            for j in range(i, min(len(self.tokens), i + LONGEST)):
+            for j in range(i, min(len(self.tokens), i + LONGEST) if possible else i):
                 b = self.tokens[j][1]
-                if any(x < b and a < y for x, y in taken):
+                if taken.overlaps(a, b):
                     break
                 has_digit = has_digit or text[self.tokens[j][0]].isdigit()
                 if b - a < 5 or not text[b - 1].isalnum():
                     continue
-                for kind, shape in SHAPES.items():
+                for kind, shape in possible:
                     if (kind == "email" or has_digit) and shape.fullmatch(text, a, b):
                         self.segments.append((i, j - i + 1, kind, features(kind, text, a, b)))
 
@@ -195,10 +217,12 @@ def gradient(window: Window, gold: set[tuple[int, int, str]], weights: dict[str,
 
 
 def windows(text: str) -> Iterator[tuple[int, int]]:
-    """Joined stretches around candidates."""
+    """Joined stretches around candidates; each begins at a word's edge, for words of up to ``LONGEST_WORD`` signs."""
     held = None
     for m in TRIGGER.finditer(text):
         a, b = max(0, m.start() - BEFORE), min(len(text), m.end() + AFTER)
+        while a > max(0, m.start() - LONGEST_WORD) and not text[a - 1].isspace():
+            a -= 1
         if held and a <= held[1]:
             held = held[0], b
         else:
@@ -212,13 +236,12 @@ def windows(text: str) -> Iterator[tuple[int, int]]:
 def added_spans(text: str, base: list[Span], weights: dict[str, float]) -> list[Span]:
     if not weights:
         return []
-    taken = [(a, b) for a, b, _ in base]
+    taken = Taken([(a, b) for a, b, _ in base])
     out: list[Span] = []
     for start, end in windows(text):
-        near = [(a, b) for a, b in taken if a < end and start < b]
-        if near and all(any(a <= m.start() and m.end() <= b for a, b in near) for m in TRIGGER.finditer(text, start, end)):
+        if taken.overlaps(start, end) and all(taken.holds(*m.span()) for m in TRIGGER.finditer(text, start, end)):
             continue  # every candidate is a base span
-        w = Window(text, start, end, near)
+        w = Window(text, start, end, taken)
         out += [(w.tokens[i][0], w.tokens[i + k - 1][1], kind) for i, k, kind in best(w, weights)] if w.segments else []
     return out
 

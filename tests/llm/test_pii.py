@@ -141,3 +141,42 @@ def test_nothing_to_learn_from(docs):
     df = docs([(1, "no data"), (2, None)])
     assert pii.fit(df) == {} and pii.fit(df.where("doc_id > 5")) == {}
     assert pii.find(df.where("doc_id > 5"), {}).collect() == []
+
+
+def _mixed(size, seed=1):
+    rng = random.Random(seed)
+    out, n = [], 0
+    while n < size:
+        out.append(rng.choice([f"bob{rng.randint(0, 99)}@mail.example.com ", f"+1 (555) 123-{rng.randint(0, 9999):04d} ", f"10.{rng.randint(0, 255)}.3.4 ", "4111 1111 1111 1111 ", f"call 555-123-{rng.randint(0, 9999):04d} ", "word "]))
+        n += len(out[-1])
+    return "".join(out)
+
+
+def test_added_spans_and_masks_take_time_in_proportion():
+    weights = {"phone:bias": 1.0, "email:bias": 1.0}
+    times = []
+    for size in (30_000, 240_000):
+        text = _mixed(size)
+        t = time.perf_counter()
+        assert pii.added_spans(text, pii.base_spans(text), weights)
+        pii.masked(text, weights)
+        times.append(time.perf_counter() - t)
+    assert times[1] < 24 * times[0] + 0.5
+
+
+def test_taken_spans_against_all():
+    rng = random.Random(3)
+    for _ in range(300):
+        spans = [(a, a + rng.randint(1, 9)) for a in (rng.randint(0, 40) for _ in range(rng.randint(0, 6)))]
+        taken = pii.Taken(spans)
+        a = rng.randint(0, 45)
+        b = a + rng.randint(1, 6)
+        assert taken.overlaps(a, b) == any(x < b and a < y for x, y in spans)
+        assert taken.holds(a, b) == any(x <= a and b <= y for x, y in spans)
+
+
+def test_long_written_out_addresses_are_one_span():
+    weights = {"email:end 3": 1.0}
+    for address in ("first.last [at] cs [dot] dept [dot] example [dot] org", "bob (at) cs (dot) dept (dot) example (dot) org", "averylongname" * 7 + ".last at example dot com"):
+        text = f"please write {address} today"
+        assert [(text[a:b], k) for a, b, k in pii.added_spans(text, [], weights)] == [(address, "email")]
