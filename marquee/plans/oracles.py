@@ -271,6 +271,10 @@ ORACLES["api_ticketing"] = f"""SELECT o_orderkey::VARCHAR AS origin, 0::BIGINT A
  UNION ALL SELECT o_orderkey::VARCHAR, 1, {_SECOND_TITLE}, v.venue, o_orderdate::DATE, NULL, 'http://t/' || o_orderkey, {_SECOND_TITLE} = 'Jazz Trivia', {_SECOND_TITLE} <> 'Jazz Trivia'
  FROM orders JOIN ({venue_join('SELECT DISTINCT o_orderpriority FROM orders', 'o_orderpriority', 'o_orderpriority')}) v USING (o_orderpriority)
  UNION ALL SELECT o_orderkey::VARCHAR, 2, 'No date', 'Unknown Venue', NULL, NULL, 'http://t/' || o_orderkey, false, o_orderkey % 2 <> 0 FROM orders"""
+ORACLES["api_request"] = f"""WITH o AS (SELECT o_orderkey AS k, {config.CENTER_LAT}::DOUBLE + ((o_orderkey * 37) % 2001 - 1000) / 1000.0::DOUBLE AS lat, {config.CENTER_LON}::DOUBLE + ((o_orderkey * 53) % 2003 - 1000) / 1000.0::DOUBLE AS lon FROM orders),
+ m AS (SELECT *, 2 * 3958.7613 * asin(sqrt(least(1.0, pow(sin(radians(lat - {config.CENTER_LAT}) / 2), 2) + cos(radians({config.CENTER_LAT})) * cos(radians(lat)) * pow(sin(radians(lon - ({config.CENTER_LON})) / 2), 2)))) AS miles FROM o)
+ SELECT k::VARCHAR AS origin, 0::BIGINT AS pos, 'Order ' || k AS artist, 'Growlers' AS venue, {plus('k % 12')} AS date, true AS kept, false AS filtered FROM m
+ WHERE k % 12 <= 7 AND (k % 5 = 0 OR k % 3 <> 1) AND (k % 10 IN (3, 4) OR miles <= {config.RADIUS_MILES})"""
 _DOC = "'Doc ' || doc_id"
 _CAT = pick(["Music", "", "Arts"], "doc_id")
 ORACLES["api_second"] = f"""SELECT doc_id::VARCHAR AS origin, CASE WHEN ok THEN {_DOC} ELSE '' END AS artist,

@@ -16,6 +16,7 @@ from marquee.plans import publish
 from marquee.session import cut, spread
 from marquee.sources import api, artifacts, pages, profiles, runlog, sheet
 from marquee.sources import venues as calendars
+from marquee.sources.request import Request
 
 P = RunParams(datetime.date(2026, 2, 15), 7, "2026-02-15 05:58:42")
 BASE = datetime.date(2026, 2, 15)
@@ -431,6 +432,22 @@ def api_ticketing(spark, sf):
     return r.select("origin", "pos", F.col("artist"), "venue", "date", "time", "url", "kept", "filtered")
 
 
+@query
+def api_request(spark, sf):
+    """Events that answer a request for dates, a category and a circle; some lack coordinates or a category."""
+    d = table(spark, sf, "orders", heavy=True)
+    k = F.col("o_orderkey")
+    lat = F.lit(config.CENTER_LAT) + ((k * 37) % 2001 - 1000) / 1000.0
+    lon = F.lit(config.CENTER_LON) + ((k * 53) % 2003 - 1000) / 1000.0
+    place = F.struct(F.when(k % 10 != 3, lat.cast("string")).alias("latitude"), F.when(k % 10 != 4, lon.cast("string")).otherwise("east").alias("longitude"))
+    event = F.struct(F.concat(F.lit("Order "), k).alias("name"), F.struct(F.struct(F.date_format(_plus(k % 12), "yyyy-MM-dd").alias("localDate")).alias("start")).alias("dates"),
+                     F.when(k % 5 != 0, F.array(F.struct(F.struct(_pick(["Music", "Sports", "music"], k).alias("name")).alias("segment")))).alias("classifications"),
+                     F.struct(F.array(F.struct(F.lit("Growlers").alias("name"), place.alias("location"))).alias("venues")).alias("_embedded"))
+    body = F.to_json(F.struct(F.struct(F.array(event).alias("events")).alias("_embedded")))
+    events = api.ticketing_events(d.select(k.cast("string").alias("origin"), body.alias("body")))
+    return api.stage_ticketing_events(events, Request.of(P)).select("origin", "pos", "artist", "venue", "date", "kept", "filtered")
+
+
 @query
 def api_second(spark, sf):
     d = table(spark, sf, "documents", heavy=True)

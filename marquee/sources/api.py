@@ -10,10 +10,13 @@ from marquee.functions import dates, text
 from marquee.operators import quarantine
 from marquee.operators.rules import is_music
 from marquee.operators.venues import canonical_venue
+from marquee.sources import request
+from marquee.sources.request import Request
 
 TICKETING_SCHEMA = """struct<_embedded: struct<events: array<struct<name: string, url: string,
  dates: struct<start: struct<localDate: string, localTime: string>>,
- _embedded: struct<venues: array<struct<name: string>>>>>>>"""
+ classifications: array<struct<segment: struct<name: string>>>,
+ _embedded: struct<venues: array<struct<name: string, location: struct<latitude: string, longitude: string>>>>>>>>"""
 
 SECOND_SCHEMA = """struct<events: array<struct<name: struct<text: string>, start: struct<local: string>, url: string,
  category: struct<name: string>, description: struct<text: string>,
@@ -38,13 +41,33 @@ def _finish(rows: DataFrame, source: str, rank: int) -> DataFrame:
         F.lit(True).alias("found"), "kept", "filtered")
 
 
+def ticketing_events(payloads: DataFrame) -> DataFrame:
+    """Events of ticketing payloads with what a request asks for: (origin, pos, e, category, lat, lon, cell, event_date)."""
+    e = _items(payloads, TICKETING_SCHEMA, "_embedded.events")
+    place = F.get(F.col("e._embedded.venues"), F.lit(0))["location"]
+    e = e.select("*", F.get(F.col("e.classifications"), F.lit(0))["segment"]["name"].alias("category"),
+                 place["latitude"].try_cast("double").alias("lat"),
+                 place["longitude"].try_cast("double").alias("lon"))
+    e = e.withColumn("cell", request.cell(F.col("lat"), F.col("lon")))
+    lat, lon = (F.when(F.col("cell") != request.NOWHERE, F.col(x)).alias(x) for x in ("lat", "lon"))
+    return e.select("origin", "pos", "e", "category", lat, lon, "cell", dates.strict_day(F.col("e.dates.start.localDate")).alias("event_date"))
+
+
+def stage_ticketing_events(events: DataFrame, r: Request, rank: int = 0) -> DataFrame:
+    """Listings of landed ticketing events (``ticketing_events``) that answer a request."""
+    return _ticketing(request.asked(events, r).select("origin", "pos", "e"), rank)
+
+
 def stage_ticketing(payloads: DataFrame, rank: int = 0) -> DataFrame:
     """Listings of the ticketing API. The date window is part of the request, so it is not applied again.
 
     A row without name or date, or one the music rules reject, counts as filtered; a date that does not parse
     drops the row without counting it.
     """
-    e = _items(payloads, TICKETING_SCHEMA, "_embedded.events")
+    return _ticketing(_items(payloads, TICKETING_SCHEMA, "_embedded.events"), rank)
+
+
+def _ticketing(e: DataFrame, rank: int) -> DataFrame:
     start = F.col("e.dates.start")
     venues = F.col("e._embedded.venues")
     venue = F.when(F.size(venues) > 0, F.coalesce(F.get(venues, F.lit(0))["name"], F.lit(config.UNKNOWN_VENUE)))
