@@ -302,6 +302,10 @@ def element(x: str) -> str:
 
 
 TITLED = f"""SELECT *, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS raw_title, {plus('page_id % 12')} AS day FROM pages"""
+ORACLES["sheet_files"] = f"""WITH f AS (SELECT p_partkey AS k, {plus('p_partkey % 12')} AS date, 'Act "' || p_partkey || '", the' || chr(10) || p_name AS act FROM part WHERE p_partkey % 12 <= 7)
+ SELECT k::VARCHAR AS origin, pos::BIGINT AS pos, coalesce(name, act) AS artist, venue, date, time, source FROM f,
+ (VALUES (0, 0, NULL, 'Overton Park Shell', NULL, 'Manual (Google Sheet)'), (1, 0, NULL, 'Growlers', NULL, 'Manual (flyer)'), (1, 1, 'Long', 'Growlers', '7 PM', 'Manual (n)'), (2, 0, NULL, 'B-Side Memphis', '9 PM', 'Manual (Google Sheet)'))
+ v(r, pos, name, venue, time, source) WHERE k % 3 = r"""
 ORACLES["page_cards"] = f"""SELECT page_id::VARCHAR AS origin, 0::BIGINT AS pos, md5({element('raw_title')}) AS artist_md5, 'Growlers' AS venue, day AS date, NULL::VARCHAR AS time, NULL::VARCHAR AS url,
  'Venue: Growlers' AS source, page_id % 12 <= 7 AS kept, page_id % 12 > 7 AS filtered FROM ({TITLED})"""
 ORACLES["page_jsonld"] = f"""SELECT page_id::VARCHAR AS origin, 0::BIGINT AS pos, url AS artist, 'Overton Park Shell' AS venue, day AS date, '7:30 PM' AS time, url, 'Venue: Growlers' AS source,

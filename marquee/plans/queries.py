@@ -478,6 +478,21 @@ def sheet_rows(spark, sf):
     return sheet.stage_sheet(s, P).select("pos", "artist", "venue", "date", "time", "source")
 
 
+@query
+def sheet_files(spark, sf):
+    """Whole CSV files, one for each part, under three headers; cells with line breaks and quotes, empty, short and long records."""
+    d = table(spark, sf, "part", heavy=True)
+    k = F.col("p_partkey")
+    day = F.date_format(_plus(k % 12), "M/d/yyyy")
+    name = F.concat(F.lit('"Act ""'), k, F.lit('"", the\n'), "p_name", F.lit('"'))
+    third = F.concat(F.lit("Doors,Act,Place,Event Date\n9 PM,"), name, F.lit(",b side,"), day, F.lit("\n9 PM,"), name, F.lit("\n"))
+    body = (F.when(k % 3 == 0, F.concat(F.lit("date,artist,venue\n"), day, F.lit(","), name, F.lit(",shell\n\n"), day, F.lit(",Other,shell,more\n")))
+            .when(k % 3 == 1, F.concat(F.lit(" Venue ,TIME,Date,Artist,Source_Note\r\nGrowlers,,"), day, F.lit(","), name, F.lit(",flyer\r\nGrowlers,7 PM,"), day, F.lit(",Long,n,x")))
+            .otherwise(third))
+    s = sheet.parse_files(d.select(k.cast("string").alias("origin"), body.alias("body")))
+    return sheet.stage_sheet(s, P).select("origin", "pos", "artist", "venue", "date", "time", "source")
+
+
 @query
 def archive_decode(spark, sf):
     """Web archives built around whole pages, decoded back."""

@@ -1,11 +1,20 @@
-"""Manually kept spreadsheets as CSV, with freely named headers."""
+"""Manually kept spreadsheets as CSV, with freely named headers.
+
+Each record carries its file's header, so files with any headers are one plan: they are read and taken apart in tasks, and no file costs a job. A file is one
+row until then, as quoted cells may span lines.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+import csv
+import io
+import sys
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +24,7 @@ from marquee.functions import dates, text
 from marquee.operators import quarantine
 from marquee.operators.rules import in_window
 from marquee.operators.venues import venue_or_tba
+from marquee.session import cut
 
 # fixed values: header names accepted per field, in order of preference
 HEADERS = {
@@ -25,89 +35,92 @@ HEADERS = {
     "note": ["source_note", "source", "notes", "note"],
 }
 CORRUPT = "_row_text"
+ROWS = "origin string, pos long, header array<string>, cells array<string>, n_cells int, record string"
 
 
 @dataclass(frozen=True)
 class Sheet:
-    rows: DataFrame          # one string column per header position (c0, c1, ...), CORRUPT, origin, pos
-    header: list[str]
+    rows: DataFrame          # ROWS: the header of the record's file, its cells (as many as it has, or as the header has), their number, its text
     source_name: str
-    others: tuple[Sheet, ...] = ()   # files of the same folder with another header
-
-
-def resolve_headers(header: list[str]) -> dict[str, tuple[int, bool]]:
-    """Field -> (position, whether the field's first name matched); fields without a header are left out."""
-    found = {}
-    clean = [h.strip().lower() for h in header]
-    for field, names in HEADERS.items():
-        for i, name in enumerate(names):
-            if name in clean:
-                found[field] = (clean.index(name), i == 0)
-                break
-    return found
 
 
 def _schema(width: int) -> T.StructType:
     return T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)] + [T.StructField(CORRUPT, T.StringType())])
 
 
-def read_sheet(spark: SparkSession, path: str, source_name: str = config.SHEET) -> Sheet:
-    """Read CSV files, each under its own header. Quoted cells may span lines, so a file is not split.
+def parse_files(files: DataFrame, source_name: str = config.SHEET) -> Sheet:
+    """Records of whole CSV files, (origin, body): the first record is the header, empty ones are left out. A null body has none."""
+    schema = pa.schema([("origin", pa.string()), ("pos", pa.int64()), ("header", pa.list_(pa.string())), ("cells", pa.list_(pa.string())), ("n_cells", pa.int32()), ("record", pa.string())])
 
-    Files are kept by hand, so that there are few; those with equal headers are read together.
-    """
-    files = sorted(r.path for r in spark.read.format("binaryFile").load(path).select("path").collect())  # a listing, nothing is opened
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for f in files:
-        groups.setdefault(tuple(spark.read.option("header", True).option("multiLine", True).csv(f).columns), []).append(f)
-    if not groups:
-        raise FileNotFoundError(f"no files in {path}")
-    sheets = [_read_files(spark, paths, list(header), source_name) for header, paths in groups.items()]
-    return replace(sheets[0], others=tuple(sheets[1:]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(sys.maxsize)
+        for batch in batches:
+            for origin, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                reader = csv.reader(io.StringIO((body or "").removeprefix("\ufeff"), newline=""))
+                header, held = next(reader, []), []
+                for pos, cells in enumerate(r for r in reader if r):
+                    held.append((origin, pos, header, cells, len(cells), ",".join(cells)))
+                    if len(held) == 2048:
+                        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, h, strict=True)) for h in held], schema)
+                        held = []
+                if held:
+                    yield pa.RecordBatch.from_pylist([dict(zip(schema.names, h, strict=True)) for h in held], schema)
 
+    return Sheet(files.select(F.col("origin").cast("string").alias("origin"), F.col("body").cast("string").alias("body")).mapInArrow(run, ROWS), source_name)
 
-def _read_files(spark: SparkSession, paths: list[str], header: list[str], source_name: str) -> Sheet:
-    rows = (spark.read.schema(_schema(len(header))).option("header", True).option("multiLine", True).option("escape", '"')
-            .option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(paths))
-    rows = rows.select("*", F.col("_metadata.file_path").alias("origin"), F.monotonically_increasing_id().alias("pos"))
-    return Sheet(rows, header, source_name)
+
+def read_sheet(spark: SparkSession, path: str, source_name: str = config.SHEET) -> Sheet:
+    """All CSV files of a path, in one scan."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("origin"), F.col("value").alias("body"))
+    if not files.inputFiles():
+        raise FileNotFoundError(f"no files in {path}")
+    return parse_files(files, source_name)
 
 
 def parse_lines(lines: DataFrame, header: list[str], source_name: str = config.SHEET) -> Sheet:
     """CSV records already held as text: ``lines`` is (origin, pos, line), one record per row, header excluded."""
-    parsed = F.from_csv("line", _schema(len(header)).simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "),
+    width = len(header)
+    parsed = F.from_csv("line", _schema(width).simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "),
                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "escape": '"'})
-    return Sheet(lines.select("origin", "pos", parsed.alias("r")).select("r.*", "origin", "pos"), header, source_name)
+    odd = F.length(F.regexp_replace(F.regexp_replace(CORRUPT, r'"[^"]*+(?:""[^"]*+)*+"', ""), "[^,]", "")) + 1
+    rows = lines.select("origin", "pos", "line", parsed.alias("r")).select("origin", "pos", "line", "r.*")
+    return Sheet(rows.select("origin", F.col("pos").cast("long").alias("pos"), text.folded(header, "array<string>").alias("header"), F.array(*[f"c{i}" for i in range(width)]).alias("cells"),
+                             F.coalesce(odd, F.lit(width)).cast("int").alias("n_cells"), F.col("line").alias("record")), source_name)
 
 
 def first_sheet(spark: SparkSession, candidates: list[tuple[str, str]]) -> tuple[Sheet | None, list[str]]:
-    """The first readable of (path, source name), and why the ones before it were not."""
+    """The first readable of (path, source name), and why the ones before it were not. Its records are read here, so that a copy which fails
+    in the middle makes way for the next as well."""
     errors = []
     for path, name in candidates:
         try:
-            return read_sheet(spark, path, name), errors
+            s = read_sheet(spark, path, name)
+            return Sheet(cut(s.rows), name), errors
         except Exception as e:  # an unreadable copy makes way for the next
             errors.append(f"Sheet URL failed ({str(e)[:60]}), trying local CSV...")
     return None, errors
 
 
+def field_at(header: Column, field: str) -> Column:
+    """Place of a field in a header, from 1: under the first of its names that is there; null if none is."""
+    clean = F.transform(header, lambda h: F.lower(text.squeeze_ends(h)))
+    return F.coalesce(*[F.nullif(F.array_position(clean, name).cast("int"), F.lit(0)) for name in HEADERS[field]])
+
+
 def _cells(sheet: Sheet, p: RunParams, rank: int) -> DataFrame:
     """The fields of all rows; ``few`` and ``many`` say that a row cannot be read for its number of cells."""
-    at = resolve_headers(sheet.header)
-
-    def cell(field: str):
-        return text.squeeze_ends(F.coalesce(F.col(f"c{at[field][0]}"), F.lit(""))) if field in at else F.lit("")
-
-    width = len(sheet.header)
-    cells = F.length(F.regexp_replace(F.regexp_replace(CORRUPT, r'"[^"]*+(?:""[^"]*+)*+"', ""), "[^,]", "")) + 1
-    needed = max((i for i, _ in at.values()), default=0)
-    firsts = len(at) == len(HEADERS) and all(first for _, first in at.values())
-    readable = F.col(CORRUPT).isNull() | F.when(cells > width, F.lit(firsts)).otherwise(cells > needed)
-    day = dates.parse_sheet_date(cell("date"), p.year)
-    return sheet.rows.select(
-        (~readable & (cells < width)).alias("few"), (~readable & (cells >= width)).alias("many"),
-        F.coalesce(CORRUPT, F.concat_ws(",", *[f"c{i}" for i in range(width)])).alias("record"), cell("date").alias("raw_date"),
-        cell("artist").alias("artist"), venue_or_tba(cell("venue")).alias("venue"), day.alias("date"),
+    rows = sheet.rows.select("*", *[field_at(F.col("header"), f).alias(f"_{f}") for f in HEADERS])
+
+    def cell(field: str) -> Column:
+        return F.when(F.col(f"_{field}").isNull(), "").otherwise(text.squeeze_ends(F.coalesce(F.get("cells", F.col(f"_{field}") - 1), F.lit(""))))
+
+    firsts = [F.coalesce(F.lower(text.squeeze_ends(F.get("header", F.col(f"_{f}") - 1))) == names[0], F.lit(False)) for f, names in HEADERS.items()]
+    width = F.size("header")
+    readable = ((F.col("n_cells") == width) | ((F.col("n_cells") > width) & reduce(lambda a, b: a & b, firsts))
+                | ((F.col("n_cells") < width) & (F.col("n_cells") >= F.coalesce(F.greatest(*[f"_{f}" for f in HEADERS]), F.lit(1)))))
+    return rows.select(
+        (~readable & (F.col("n_cells") < width)).alias("few"), (~readable & (F.col("n_cells") > width)).alias("many"), "record", cell("date").alias("raw_date"),
+        cell("artist").alias("artist"), venue_or_tba(cell("venue")).alias("venue"), dates.parse_sheet_date(cell("date"), p.year).alias("date"),
         text.blank_to_null(cell("time")).alias("time"),
         text.source_label("Manual", cell("note"), config.SHEET).alias("source"), F.lit(None).cast("string").alias("url"),
         F.lit(sheet.source_name).alias("source_name"), F.lit(rank).alias("source_rank"), "origin", F.col("pos").cast("long").alias("pos"))
@@ -119,9 +132,6 @@ def stage_sheet(sheet: Sheet, p: RunParams, rank: int = 1) -> DataFrame:
     A row that lacks a cell one of the fields is looked up in is skipped. A row with more cells than headers is
     kept only when every field is found under its first name.
     """
-    if sheet.others:
-        parts = [stage_sheet(replace(sheet, others=()), p, rank), *(stage_sheet(x, p, rank) for x in sheet.others)]
-        return reduce(DataFrame.unionByName, parts)
     ok = F.coalesce((F.col("artist") != "") & in_window(F.col("date"), p), F.lit(False))
     rows = _cells(sheet, p, rank).where(~F.col("few") & ~F.col("many") & ok).drop("few", "many", "record", "raw_date")
     return rows.select("*", F.lit(True).alias("found"), F.lit(True).alias("kept"), F.lit(False).alias("filtered"))
@@ -129,8 +139,7 @@ def stage_sheet(sheet: Sheet, p: RunParams, rank: int = 1) -> DataFrame:
 
 def bad_rows(sheet: Sheet, p: RunParams, rank: int = 1) -> DataFrame:
     """Rows that ``stage_sheet`` cannot read: cells that do not fit the header, no artist, no date or none that can be read."""
-    parts = [_cells(x, p, rank) for x in (replace(sheet, others=()), *sheet.others)]
-    rows = reduce(DataFrame.unionByName, parts)
+    rows = _cells(sheet, p, rank)
     reason = (F.when(F.col("few"), quarantine.FEW_CELLS).when(F.col("many"), quarantine.MANY_CELLS)
               .otherwise(quarantine.missing(F.col("artist"), F.col("raw_date"), F.col("date"))))
     return quarantine.bad_rows(rows, reason, F.col("record"), F.col("source_name"), F.col("source_rank"))
