@@ -11,7 +11,6 @@ import io
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,31 +34,38 @@ HEADERS = {
     "note": ["source_note", "source", "notes", "note"],
 }
 CORRUPT = "_row_text"
-ROWS = "origin string, pos long, header array<string>, cells array<string>, n_cells int, record string"
+ROWS = "origin string, pos long, width int, places array<int>, firsts boolean, cells array<string>, n_cells int, record string"
 
 
 @dataclass(frozen=True)
 class Sheet:
-    rows: DataFrame          # ROWS: the header of the record's file, its cells (as many as it has, or as the header has), their number, its text
+    rows: DataFrame          # ROWS: what the header of the record's file says, its cells (as many as it has, or as the header has), their number, its text
     source_name: str
 
 
+def resolve_header(header: list[str]) -> tuple[int, list[int], bool]:
+    """Number of columns, the place of each field from 1 (0: none) under the first of its names that is there, and whether all are under first names."""
+    clean = [h.strip().lower() for h in header]
+    names = [next((n for n in given if n in clean), None) for given in HEADERS.values()]
+    return len(header), [clean.index(n) + 1 if n else 0 for n in names], all(n == given[0] for n, given in zip(names, HEADERS.values(), strict=True))
+
+
 def _schema(width: int) -> T.StructType:
     return T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)] + [T.StructField(CORRUPT, T.StringType())])
 
 
 def parse_files(files: DataFrame, source_name: str = config.SHEET) -> Sheet:
     """Records of whole CSV files, (origin, body): the first record is the header, empty ones are left out. A null body has none."""
-    schema = pa.schema([("origin", pa.string()), ("pos", pa.int64()), ("header", pa.list_(pa.string())), ("cells", pa.list_(pa.string())), ("n_cells", pa.int32()), ("record", pa.string())])
+    schema = pa.schema([("origin", pa.string()), ("pos", pa.int64()), ("width", pa.int32()), ("places", pa.list_(pa.int32())), ("firsts", pa.bool_()), ("cells", pa.list_(pa.string())), ("n_cells", pa.int32()), ("record", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         csv.field_size_limit(sys.maxsize)
         for batch in batches:
             for origin, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 reader = csv.reader(io.StringIO((body or "").removeprefix("\ufeff"), newline=""))
-                header, held = next(reader, []), []
+                header, held = resolve_header(next(reader, [])), []
                 for pos, cells in enumerate(r for r in reader if r):
-                    held.append((origin, pos, header, cells, len(cells), ",".join(cells)))
+                    held.append((origin, pos, *header, cells, len(cells), ",".join(cells)))
                     if len(held) == 2048:
                         yield pa.RecordBatch.from_pylist([dict(zip(schema.names, h, strict=True)) for h in held], schema)
                         held = []
@@ -79,12 +85,13 @@ def read_sheet(spark: SparkSession, path: str, source_name: str = config.SHEET)
 
 def parse_lines(lines: DataFrame, header: list[str], source_name: str = config.SHEET) -> Sheet:
     """CSV records already held as text: ``lines`` is (origin, pos, line), one record per row, header excluded."""
-    width = len(header)
+    width, places, firsts = resolve_header(header)
     parsed = F.from_csv("line", _schema(width).simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "),
                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "escape": '"'})
     odd = F.length(F.regexp_replace(F.regexp_replace(CORRUPT, r'"[^"]*+(?:""[^"]*+)*+"', ""), "[^,]", "")) + 1
     rows = lines.select("origin", "pos", "line", parsed.alias("r")).select("origin", "pos", "line", "r.*")
-    return Sheet(rows.select("origin", F.col("pos").cast("long").alias("pos"), text.folded(header, "array<string>").alias("header"), F.array(*[f"c{i}" for i in range(width)]).alias("cells"),
+    return Sheet(rows.select("origin", F.col("pos").cast("long").alias("pos"), F.lit(width).alias("width"), F.array(*map(F.lit, places)).alias("places"),
+                             F.lit(firsts).alias("firsts"), F.array(*[f"c{i}" for i in range(width)]).alias("cells"),
                              F.coalesce(odd, F.lit(width)).cast("int").alias("n_cells"), F.col("line").alias("record")), source_name)
 
 
@@ -101,23 +108,16 @@ def first_sheet(spark: SparkSession, candidates: list[tuple[str, str]]) -> tuple
     return None, errors
 
 
-def field_at(header: Column, field: str) -> Column:
-    """Place of a field in a header, from 1: under the first of its names that is there; null if none is."""
-    clean = F.transform(header, lambda h: F.lower(text.squeeze_ends(h)))
-    return F.coalesce(*[F.nullif(F.array_position(clean, name).cast("int"), F.lit(0)) for name in HEADERS[field]])
-
-
 def _cells(sheet: Sheet, p: RunParams, rank: int) -> DataFrame:
     """The fields of all rows; ``few`` and ``many`` say that a row cannot be read for its number of cells."""
-    rows = sheet.rows.select("*", *[field_at(F.col("header"), f).alias(f"_{f}") for f in HEADERS])
+    place = {f: F.get("places", F.lit(i)) for i, f in enumerate(HEADERS)}
 
     def cell(field: str) -> Column:
-        return F.when(F.col(f"_{field}").isNull(), "").otherwise(text.squeeze_ends(F.coalesce(F.get("cells", F.col(f"_{field}") - 1), F.lit(""))))
+        return text.squeeze_ends(F.coalesce(F.get("cells", F.when(place[field] > 0, place[field] - 1)), F.lit("")))
 
-    firsts = [F.coalesce(F.lower(text.squeeze_ends(F.get("header", F.col(f"_{f}") - 1))) == names[0], F.lit(False)) for f, names in HEADERS.items()]
-    width = F.size("header")
-    readable = ((F.col("n_cells") == width) | ((F.col("n_cells") > width) & reduce(lambda a, b: a & b, firsts))
-                | ((F.col("n_cells") < width) & (F.col("n_cells") >= F.coalesce(F.greatest(*[f"_{f}" for f in HEADERS]), F.lit(1)))))
+    width, needed = F.col("width"), F.greatest(F.array_max("places"), F.lit(1))
+    readable = ((F.col("n_cells") == width) | ((F.col("n_cells") > width) & F.col("firsts")) | ((F.col("n_cells") < width) & (F.col("n_cells") >= needed)))
+    rows = sheet.rows
     return rows.select(
         (~readable & (F.col("n_cells") < width)).alias("few"), (~readable & (F.col("n_cells") > width)).alias("many"), "record", cell("date").alias("raw_date"),
         cell("artist").alias("artist"), venue_or_tba(cell("venue")).alias("venue"), dates.parse_sheet_date(cell("date"), p.year).alias("date"),
