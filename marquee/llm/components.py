@@ -8,27 +8,42 @@ from pyspark.sql import functions as F
 from marquee.session import cut
 
 
+#: Fewest edges of a hub, and most hubs: a node is one from ``max(HUB, 2 * edges / HUBS)`` edges on, so that their list is short at every size.
+HUB, HUBS = 256, 1 << 16
+
+
+def hung(edges: DataFrame, n_edges: int) -> DataFrame:
+    """``edges`` (``u``, ``v``) with ``m``, the smallest of each ``u`` and its ``v``.
+
+    A hub's edges are dealt over several tasks by their other end, and its minimum is sent to each; at most ``HUBS`` numbers are broadcast.
+    """
+    size = max(HUB, 2 * n_edges // HUBS)
+    least = edges.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.ceil(F.count(F.lit(1)) / size).cast("int").alias("parts"))
+    hubs = F.broadcast(least.where("parts > 1").select("u", "parts"))
+    dealt = edges.join(hubs, "u", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("v"), "parts").cast("int"), F.lit(0))).select("u", "v", "part")
+    return dealt.join(least.select("u", "m", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), ["u", "part"]).select("u", "v", "m")
+
+
 def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     """``node``, ``root`` (the smallest node reachable) for every node that has an edge; nodes are numbers.
 
     Rounds of alternating stars: every node's neighbours are hung on the smallest of them, first the larger neighbours, then the
     smaller ones. A round halves distances roughly, so that long chains take logarithmically many rounds; the smallest
-    neighbour is a partial aggregate, so that a hub with millions of edges is never gathered. Rounds end when the edges stay the
-    same, seen by their number and the sum of their hashes. Each round is cut off in the checkpoint folder, for recovery.
+    neighbour is a partial aggregate and the edges of a hub are dealt over tasks, so that a hub with millions of edges is never
+    gathered. Rounds end when the edges stay the same, seen by their number and the sum of their hashes. Each round is cut off in
+    the checkpoint folder, for recovery.
     """
     e = cut(edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u > v").distinct())
     before = None
     while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-                 .select("x.u", "x.v").where("u > v").distinct())
-        e = cut(small)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
         before = now
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = hung(both, now[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        small = hung(large, now[0])
+        e = cut(small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
+                .select("x.u", "x.v").where("u > v").distinct())
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
