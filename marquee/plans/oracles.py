@@ -322,6 +322,15 @@ ORACLES["page_profiles"] = f"""WITH p AS (SELECT *, {_N} AS n, {plus('p_size % 1
  CASE WHEN n IN (0, 1, 2) THEN 'Venue: House' WHEN n = 3 THEN 'Artifacts (' || p_partkey || ')' WHEN n IN (4, 8) THEN 'DICE' WHEN n = 5 THEN 'Bandsintown' WHEN n = 6 THEN 'Memphis Flyer' ELSE 'Artifacts (Bandsintown page)' END AS source FROM p),
  s AS (SELECT *, (n <> 5 OR inside) AS found FROM r), t AS (SELECT *, found AND inside AND (NOT ruled OR m) AS kept FROM s)
  SELECT origin, artist, venue, date, time, url, source, found, kept, found AND NOT kept AND n NOT IN (3, 7) AS filtered FROM t"""
+ORACLES["saved_city_links"] = f"""WITH p AS (SELECT p_partkey AS k, trim(p_name) AS a, {plus('p_size % 12')} AS date FROM part),
+ r AS (SELECT k, date, unnest([
+  {{'pos': 0, 'artist': a || ' é', 'venue': 'Growlers', 'time': '8:00 PM', 'url': 'https://c/e/' || k}},
+  {{'pos': 1, 'artist': a, 'venue': 'Venue TBA', 'time': NULL, 'url': 'https://c/e/' || k}},
+  {{'pos': 2, 'artist': a || 'x', 'venue': 'Venue TBA', 'time': 'late - night', 'url': '/e/' || k}},
+  {{'pos': 3, 'artist': a, 'venue': 'Bar DKDC', 'time': NULL, 'url': '/e/' || k}},
+  {{'pos': 4, 'artist': a, 'venue': 'Overton Park Shell', 'time': NULL, 'url': '/e/' || k}}]) AS e FROM p)
+ SELECT k::VARCHAR AS origin, e.pos::BIGINT AS pos, e.artist AS artist, e.venue AS venue, date, e.time AS time, e.url AS url, 'Artifacts (Bandsintown page)' AS source,
+ date <= DATE '2026-02-22' AS kept FROM r"""
 _KEYS = [v[0] for v in config.VENUES]
 _FAN = ", ".join(f"({i + 3}, {q(v[0])}, {q('Venue: ' + v[1])}, {q(v[4])})" for i, v in enumerate(config.VENUES) if v[3])
 ORACLES["venue_fanout"] = f"""SELECT v.name AS source_name, v.rank AS source_rank, true AS success, count(*) FILTER (WHERE hit) AS events_found, count(*) FILTER (WHERE hit AND page_id % 12 <= 7) AS events_after_filter,
@@ -360,6 +369,10 @@ ORACLES["intake_manifest"] = f"""WITH f AS (SELECT page_id, {_FILE} AS name, CAS
  ok AS (SELECT *, {_SAFE.format('name')} AS file_name FROM f WHERE x NOT IN (2, 3) AND length > 0 AND length <= 20971520),
  l AS (SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY modified DESC, name DESC) AS rn FROM ok)
  SELECT file_name, page_id, name, length, modified, file_name IN (SELECT 'Pägé ' || (page_id // 3) * 2 || '.png' FROM pages) AS updated FROM l WHERE rn = 1"""
+ORACLES["manifest_merge"] = f"""WITH f AS (SELECT page_id, {_FILE} AS name, CASE WHEN page_id % 17 = 0 THEN 0 ELSE length(html) * 1000 END::BIGINT AS length, (page_id * 7) % 100 AS modified, page_id % 5 AS x FROM pages),
+ ok AS (SELECT *, {_SAFE.format('name')} AS file_name FROM f WHERE x NOT IN (2, 3) AND length > 0 AND length <= 20971520),
+ l AS (SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY modified DESC, name DESC) AS rn FROM ok)
+ SELECT file_name, page_id, name, length, modified, page_id % 2 = 1 AND file_name IN (SELECT file_name FROM ok WHERE page_id % 2 = 0) AS updated FROM l WHERE rn = 1"""
 _RN = pick(["a.HTML", "(((.png", "b.exe", "c", ".htm", "é é.webp"], "page_id")
 ORACLES["intake_rejections"] = f"""SELECT page_id, CASE WHEN n = 0 THEN 'No file provided' WHEN n > 20971520 THEN 'File too large (max 20 MB)' WHEN x = 2 THEN 'File type .exe not allowed' WHEN x IN (3, 4) THEN 'File type  not allowed' END AS reason,
  {_SAFE.format('name')} AS safe FROM (SELECT page_id, page_id % 6 AS x, {_RN} AS name, length(html) * (page_id % 4) * 3000 AS n FROM pages)"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,8 +13,9 @@ from marquee import config
 from marquee.config import RunParams
 from marquee.functions import dates, markup, text
 from marquee.operators import audit, dedup, fallback, intake, overrides, quarantine, rules, venues
+from marquee.operators.manifest_store import ManifestStore, merge_files, read_manifest
 from marquee.plans import publish
-from marquee.session import cut, spread
+from marquee.session import cut, ensure_checkpoint_dir, spread
 from marquee.sources import api, artifacts, pages, profiles, runlog, sheet
 from marquee.sources import venues as calendars
 from marquee.sources.request import Request
@@ -572,6 +574,32 @@ def page_profiles(spark, sf):
     return pages.stage_pages(x, P).select("origin", "artist", "venue", "date", "time", "url", "source", "found", "kept", "filtered")
 
 
+@query
+def saved_city_links(spark, sf):
+    """Saved city pages, one for each part: links in every layout, with references in texts and addresses, elements left open, and links that are no event."""
+    d = table(spark, sf, "part", heavy=True)
+    k = F.col("p_partkey")
+    day = F.date_format(_plus(F.col("p_size") % 12), "MMM d")
+
+    def link(path: str, *parts: Column | str) -> Column:
+        return F.concat(F.lit(f'<a class="x" href="{path}'), k, F.lit('?a=1&amp;b=2">'), *[F.lit(x) if isinstance(x, str) else x for x in parts], F.lit("</a>"))
+
+    name = F.col("p_name")
+    html = F.concat(
+        link("https://c/e/", "<div><div><img></div><div><div><div>", name, " &eacute</div><div>growlers</div></div><div>", day, " - 8:00 PM</div></div></div>"),
+        link("https://c&#47;e/", "<div><div>", "<div><div>", name, "</div></div><div>Doors</div><div>", day, "</div></div></div>"),
+        link("/e/", "<div><div><div><b>", name, "</b> ", "<i>x</i></div><p>in no block</p><div>", day, " - late - night</div></div></div>"),
+        link("/e/", "<div><div> </div></div><span>", name, "| bar |", day, "</span>"),
+        link("/e/", "<div><p>", name, "<p>The Shell<p>", day, "</div>"),
+        link("/event/", "<div><div><div>", name, "</div><div>", day, "</div></div></div>"),
+        link("/e/", "<div><div><div>", name, "</div><div>no day</div></div></div>"),
+        link("/e/", name, " | bar | ", day),
+        F.lit("<div class='event-card'><h3>card</h3><time>Feb 17</time></div>"))
+    x = d.select(F.lit("artifact").alias("kind"), html.alias("html"), F.lit(None).cast("string").alias("page_venue"), F.lit("Artifacts").alias("source_name"),
+                 F.lit(5).alias("source_rank"), k.cast("string").alias("origin"), F.lit(0).alias("endpoint_rank"))
+    return pages.stage_pages(x, P).select("origin", "pos", "artist", "venue", "date", "time", "url", "source", "kept")
+
+
 @query
 def venue_fanout(spark, sf):
     """One audit row per venue calendar from one plan over all pages."""
@@ -719,6 +747,20 @@ def intake_manifest(spark, sf):
     return intake.manifest(files, prior).select("file_name", "page_id", "name", "length", "modified", "updated")
 
 
+@query
+def manifest_merge(spark, sf):
+    """Pages as files in three merges, the last one a repeat: a kept manifest whose rows are those of one merge of all, with what replaced an earlier file."""
+    d = table(spark, sf, "pages")
+    k = F.col("page_id")
+    name = F.concat(F.lit("Pägé ("), F.floor(k / 3), F.lit(")"), _pick([".HTML", ".png", ".exe", "", ".mhtml"], k))
+    files = d.select(name.alias("name"), F.when(k % 17 == 0, 0).otherwise(F.length("html") * 1000).cast("long").alias("length"), ((k * 7) % 100).alias("modified"), "page_id")
+    store = ManifestStore(f"{ensure_checkpoint_dir(spark)}/manifest-{uuid.uuid4()}", "name string, length long, modified long, page_id long")
+    early = files.where(k % 2 == 0)
+    for batch in (early, files, early):
+        merge_files(batch, store)
+    return read_manifest(spark, store).select("file_name", "page_id", "name", "length", "modified", "updated")
+
+
 @query
 def intake_rejections(spark, sf):
     d = table(spark, sf, "pages")

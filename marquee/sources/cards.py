@@ -1,6 +1,6 @@
-"""Texts of listing cards: the one step of page extraction that needs the page's tree.
+"""Texts of listing cards and of the links of saved city pages: the one step of page extraction that needs the page's tree.
 
-Selectors on nested elements have no form as JVM expressions over text, so cards are read in an Arrow-batched Python function of one page.
+Nested elements have no form as JVM expressions over text, so they are read in an Arrow-batched Python function of one page.
 It returns texts only; dates, venues and rules stay with Spark. A page that lacks the words of all of its profile's selectors is not parsed.
 What goes wrong with one page is that page's ``error``, beside the cards of all others.
 """
@@ -8,14 +8,19 @@ What goes wrong with one page is that page's ``error``, beside the cards of all
 from __future__ import annotations
 
 import json
+import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marquee import config
 from marquee.functions.tree import Page, Selector
 
 CARD = "struct<rank:int,title:string,stamp:string,date:string,time:string,venue:string,link:string>"
+LINK = "struct<artist:string,venue:string,day:string,url:string>"
+_MONTH_DAY = re.compile(r"(?:" + "|".join(m[:3] for m in config.MONTHS) + r")\s+\d")
 
 
 class Reader:
@@ -29,12 +34,12 @@ class Reader:
         self.times = [Selector(s) for s in p.get("times") or ()]
         self.every, self.link_from, self.link_rule = bool(p.get("yield_mode")), p.get("link_from"), p.get("link_rule")
 
-    def cards(self, html: str) -> Iterator[tuple]:
-        """Cards of the first strategy that finds any, or of all of them, as ``CARD``; a card inside a card is one of its own."""
+    def may_hold_cards(self, html: str) -> bool:
         low = html.lower()
-        if not any(s in low for s in self.stems):
-            return
-        page = Page(html)
+        return any(s in low for s in self.stems)
+
+    def cards(self, page: Page) -> Iterator[tuple]:
+        """Cards of the first strategy that finds any, or of all of them, as ``CARD``; a card inside a card is one of its own."""
         fields = {name: getattr(self, name).all(page) for name in ("title", "title_else", "date", "venue", "link")}
         fields["anchors"] = page.named("a")
         times = [t.all(page) for t in self.times]
@@ -66,25 +71,68 @@ class Reader:
         return own or (None if link is None else page.attrs[link].get("href"))
 
 
-def read_cards(layout: Column, html: Column) -> Column:
-    """struct<cards array of ``CARD``, error>; a null page has none, and the cards before an error are not kept either."""
-    @F.pandas_udf(f"struct<cards:array<{CARD}>,error:string>")
-    def cards(layouts, pages):  # noqa: ANN001, ANN202
+def may_hold_links(html: str) -> bool:
+    return "/e/" in html or "&#" in html or "&sol;" in html  # or its signs written as references
+
+
+def city_links(page: Page) -> Iterator[tuple]:
+    """Links to /e/ of a saved city page as ``LINK``, those with an artist and a day.
+
+    A link's first own block holds its parts; the first of them with more than five signs is its information. The blocks in there are act and place
+    (nested, or the act alone) and, in any of them, a day. Without such a part the link's texts, also split at bars, are act, place and day.
+    """
+    inside: dict[int, list[int]] = defaultdict(list)
+    for i in page.named("div"):
+        inside[page.parent[i]].append(i)
+    for link in page.named("a"):
+        url = page.attrs[link].get("href") or ""
+        if "/e/" not in url or not inside[link]:
+            continue
+        info = next((i for i in inside[inside[link][0]] if len(page.text_of(i)) > 5), None)
+        if info is None:
+            pieces = [x for t in page.text[slice(*page.texts[link])] for y in t.split("|") if (x := y.strip())]
+            if len(pieces) < 3:
+                continue
+            artist, venue, day = pieces[:3]
+        else:
+            blocks = [t for i in inside[info] if (t := page.text_of(i))]
+            if len(blocks) < 2:
+                continue
+            first = inside[info][0]
+            named = inside[first] or [first]
+            artist, venue = page.text_of(named[0]), page.text_of(named[1]) if len(named) > 1 else ""
+            day = next((t for t in blocks if _MONTH_DAY.search(t)), "")
+        if artist and day:
+            yield artist, venue, day, url
+
+
+def read_cards(layout: Column, html: Column, city: Column, card: Column) -> Column:
+    """struct<links array of ``LINK``, cards array of ``CARD``, error>: links where ``city`` holds, cards where ``card`` holds; the page is read once
+    for both. A null page has none, and what comes before an error is not kept either."""
+    @F.pandas_udf(f"struct<links:array<{LINK}>,cards:array<{CARD}>,error:string>")
+    def cards(layouts, pages, cities, wanted):  # noqa: ANN001, ANN202
         import pandas as pd
 
         readers: dict[str, Reader] = {}
         names = ("rank", "title", "stamp", "date", "time", "venue", "link")
+        parts = ("artist", "venue", "day", "url")
 
-        def one(layout: str | None, page: str | None) -> tuple[list[dict], str | None]:
-            if page is None or layout is None:
-                return [], None
+        def one(layout: str | None, html: str | None, city: bool, card: bool) -> tuple[list[dict], list[dict], str | None]:
+            if html is None or layout is None:
+                return [], [], None
             try:
                 if layout not in readers:
                     readers[layout] = Reader(layout)
-                return [dict(zip(names, c, strict=True)) for c in readers[layout].cards(page)], None
+                reader = readers[layout]
+                city, card = city and may_hold_links(html), card and reader.may_hold_cards(html)
+                if not city and not card:
+                    return [], [], None
+                page = Page(html)
+                return ([dict(zip(parts, x, strict=True)) for x in city_links(page)] if city else [],
+                        [dict(zip(names, c, strict=True)) for c in reader.cards(page)] if card else [], None)
             except Exception as e:  # of this page alone: it is reported, the others go on
-                return [], f"{type(e).__name__}: {e}"
+                return [], [], f"{type(e).__name__}: {e}"
 
-        return pd.DataFrame([one(k, h) for k, h in zip(layouts, pages, strict=True)], columns=["cards", "error"])
+        return pd.DataFrame([one(*x) for x in zip(layouts, pages, cities, wanted, strict=True)], columns=["links", "cards", "error"])
 
-    return cards(layout, html)
+    return cards(layout, html, F.coalesce(city, F.lit(False)), F.coalesce(card, F.lit(False)))

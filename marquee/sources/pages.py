@@ -154,39 +154,14 @@ def page_state_events(html: Column) -> Column:
     return F.when(F.contains(html, F.lit("__NEXT_DATA__")) & F.try_parse_json(state).isNotNull(), found).otherwise(_no_events())
 
 
-_MONTH_DIGIT = r"(?:" + "|".join(m[:3] for m in config.MONTHS) + r")\s+\d"
+def saved_city_events(links: Column, year: int) -> Column:
+    """Events of a saved city page's links (``LINK``); those whose day cannot be read are left out."""
+    def one(link: Column) -> Column:
+        day_text, time_text = dates.split_day_and_time(link["day"])
+        url = text.blank_to_null(text.strip_query(link["url"]))
+        return _event(link["artist"], venue_or_tba(link["venue"]), dates.parse_date_text(day_text, year), time_text, url)
 
-
-def saved_city_events(html: Column, year: int) -> Column:
-    """Events of a saved city page: links to /e/ whose text blocks are artist, venue and a date with a time."""
-    link = r"(?is)<a\b[^>]*?\shref\s*=\s*[\"'][^\"']*/e/[^\"']*[\"'][^>]*>.*?</a\s*>"
-
-    let = text.let  # each part made once: every reference would else be a copy of the whole expression
-
-    def one(anchor: Column) -> Column:
-        return let(markup.inside(anchor), lambda body: let(F.regexp_count(body, F.lit(r"(?i)<div\b")), lambda divs: let(
-            F.transform(F.filter(F.split(body, F.when(divs > 1, F.lit(r"(?i)</?div\b[^>]*>")).otherwise(F.lit(r"<[^>]*>|\|"))), lambda t: t != ""), text.element_text),
-            lambda pieces: let(F.filter(pieces, lambda t: t != ""), lambda parts: event(anchor, divs, parts)))))
-
-    def event(anchor: Column, divs: Column, parts: Column) -> Column:
-        dated = F.array_position(F.transform(parts, lambda t: F.rlike(t, F.lit(_MONTH_DIGIT))), True).cast("int")
-
-        def at_place(at: Column) -> Column:
-            venue = F.when(at > 2, F.get(parts, F.lit(1))).otherwise(F.lit(""))
-
-            def from_day(day: Column) -> Column:
-                day_text, time_text = dates.split_day_and_time(day)
-                url = text.blank_to_null(text.strip_query(markup.attribute(markup.own_tag(anchor), "href")))
-                return _event(F.get(parts, F.lit(0)), venue_or_tba(venue), dates.parse_date_text(day_text, year), time_text, url)
-
-            return F.when((divs > 0) & (at > 1) & (F.size(parts) >= at), let(F.get(parts, at - 1), from_day))
-
-        return let(F.when(divs > 1, dated).otherwise(F.lit(3)), at_place)
-
-    anchors = F.regexp_extract_all(html, F.lit(link), F.lit(0))
-    return F.when(F.contains(html, F.lit("/e/")), F.filter(
-        F.transform(anchors, one), lambda e: F.coalesce(e["date"].isNotNull() & (e["artist"] != ""), F.lit(False)))
-    ).otherwise(_no_events())
+    return F.filter(F.transform(links, one), lambda e: e["date"].isNotNull())
 
 
 def card_events(read: Column, p: dict[str, Column], fixed_venue: Column, year: int) -> Column:
@@ -215,16 +190,16 @@ def card_events(read: Column, p: dict[str, Column], fixed_venue: Column, year: i
 
 @lru_cache(maxsize=16)
 def _attempts(application: str, year: int) -> tuple[Column, Column, Column, Column, Column]:
-    """The four attempts as expressions over html, page_venue and the profile's columns, each run only where those
-    before it found nothing. Built once per session and year, since they are large."""
+    """The four attempts as expressions over html, page_venue and the profile's columns. The tree is read for saved city pages, and for cards where
+    structured data and page state gave nothing. Built once per session and year, since they are large."""
     html = F.col("html")
     cols = {f: F.col(f) for f in PROFILE_FIELDS}
-    city = F.when(cols["saved_city"], saved_city_events(html, year)).otherwise(_no_events())
-    ld = F.when(cols["jsonld"] & (F.size("_city") == 0), jsonld_events(
+    ld = F.when(cols["jsonld"], jsonld_events(
         html, F.when(cols["fixed_venue"], F.col("page_venue")), cols["jsonld_graph"], cols["jsonld_date_time"])).otherwise(_no_events())
     state = F.when(cols["page_state"] & (F.size("_ld") == 0), page_state_events(html)).otherwise(_no_events())
-    none = (F.size("_city") + F.size("_ld") + F.size("_state")) == 0
-    return city, ld, state, read_cards(F.col("layout"), F.when(none, html)), card_events(F.col("_read.cards"), cols, F.col("page_venue"), year)
+    none = (F.size("_ld") + F.size("_state")) == 0
+    read = read_cards(F.col("layout"), F.when(none | cols["saved_city"], html), cols["saved_city"], none)
+    return ld, state, read, saved_city_events(F.col("_read.links"), year), card_events(F.col("_read.cards"), cols, F.col("page_venue"), year)
 
 
 def page_events(pages: DataFrame, year: int, profiles: DataFrame | None = None) -> DataFrame:
@@ -237,12 +212,12 @@ def page_events(pages: DataFrame, year: int, profiles: DataFrame | None = None)
     """
     spark = pages.sparkSession
     lineage = [c for c in pages.columns if c != "fetch_error"]
-    city, ld, state, read, cards = _attempts(spark.sparkContext.applicationId, year)
+    ld, state, read, city, cards = _attempts(spark.sparkContext.applicationId, year)
     p = profile_dim(spark)
     p = F.broadcast(p) if profiles is None else p.unionByName(profiles)  # eight rows; a table of unknown size is left to the planner
     x = pages.join(p.withColumnRenamed("kind", "_kind"), F.col("kind") == F.col("_kind"), "left")
-    x = x.withColumn("_city", city).withColumn("_ld", ld).withColumn("_state", state)
-    x = x.withColumn("_read", read).withColumn("_card", cards)
+    x = x.withColumn("_ld", ld).withColumn("_state", state).withColumn("_read", read)
+    x = x.withColumn("_city", city).withColumn("_card", cards)
     found = (F.when(F.size("_city") > 0, F.col("_city")).when(F.size("_ld") > 0, F.col("_ld"))
              .when(F.size("_state") > 0, F.col("_state")).otherwise(F.col("_card")))
     failed = F.col("fetch_error") if "fetch_error" in pages.columns else F.lit(None).cast("string")

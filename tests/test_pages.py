@@ -5,8 +5,10 @@ import datetime
 import pytest
 
 from marquee.config import RunParams
+from marquee.functions.tree import Page
 from marquee.operators import fallback
 from marquee.sources import pages
+from marquee.sources.cards import city_links, may_hold_links
 
 P = RunParams(datetime.date(2026, 2, 15))
 D = datetime.date
@@ -96,3 +98,20 @@ def test_first_yielding_endpoint(spark):
     rows = spark.createDataFrame([(1, 0, False), (1, 1, True), (1, 2, True), (2, 2, True)], "s int, rank int, ok boolean")
     got = fallback.first_yielding(rows, ["s"], "rank", rows["ok"]).select("s", "rank").collect()
     assert sorted(map(tuple, got)) == [(1, 1), (2, 2)]
+
+
+def test_links_of_saved_city_pages_by_the_tree():
+    def links(html):
+        return list(city_links(Page(html)))
+
+    act = "<div><div>A<b>ct</b></div><div>Bar</div></div>"
+    whole = f"<a href='/e/1'><div><p>x</p><div></div><div>{act}<div>Feb 16 - 8 PM</div></div></div></a>"
+    assert links(whole) == [("Act", "Bar", "Feb 16 - 8 PM", "/e/1")]
+    assert links(whole.replace("</div></div></div></a>", "")) == [("Act", "Bar", "Feb 16 - 8 PM", "/e/1")]  # left open
+    assert links(whole.replace("/e/1", "&#x2F;e/1")) == [("Act", "Bar", "Feb 16 - 8 PM", "/e/1")]
+    assert links(whole.replace("/e/", "/event/")) == links(whole.replace("Feb 16", "Feb")) == links(whole.replace("<div><p>x", "<p><div><p>x")) == []
+    assert links("<a href='/e/1'><div><div>A</div></div>b | c|d</a>") == [("A", "b", "c", "/e/1")]
+    assert links("<a href='/e/1'><div>a|b</div></a>") == [] == links("<a href='/e/1'>a|b|Feb 16</a>")
+    assert links("<a href='/e/1'><div><div><div>Only act</div><div>Feb 16</div></div></div></a>") == [("Only act", "", "Feb 16", "/e/1")]
+    assert links("<a href='/e/1'><div><div><div></div><div>Mar 1 act</div><div>Feb 16</div></div></div></a>") == []  # the first block has no text
+    assert may_hold_links("<a href='&#47;e/'>") and may_hold_links("/e/") and not may_hold_links("<a href='/f/'>&amp;")
