@@ -3,6 +3,8 @@
 A text and a benchmark item that share a run of ``seed`` words are compared: again and again the longest run of words unmarked
 in both is marked as a tile, found by Karp-Rabin hashes of growing window length, until no run of ``seed`` words is left. The share
 of the item's words under tiles is its coverage; as tiles may lie anywhere in the text, reordered passages count in full.
+Every word under a tile is under a shared seed, so an item whose shared seeds hold too few of its words is not tiled: a seed that
+many items share costs a count, not a comparison with each of them.
 
 The benchmark is broadcast in blocks of at most ``BLOCK_WORDS`` words, each block run against all texts, so that neither its size nor
 the number of texts is bounded. A text is one row and never shuffled; it is looked at only where it shares a seed.
@@ -61,6 +63,11 @@ def free_windows(free: np.ndarray, k: int) -> np.ndarray:
     return np.flatnonzero(c[k:] - c[:-k] == k) if len(free) >= k else np.empty(0, np.int64)
 
 
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """``starts[i], starts[i] + 1, ...`` of each ``lengths[i]``, joined."""
+    return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+
+
 def common(a: np.ndarray, b: np.ndarray, free_a: np.ndarray, free_b: np.ndarray, k: int) -> tuple[int, int] | None:
     """The first pair of equal free windows of ``k``."""
     at_a, at_b = free_windows(free_a, k), free_windows(free_b, k)
@@ -105,38 +112,50 @@ class Benchmark:
 
     def __init__(self, items: list[tuple[int, str | None]], seed: int):
         self.vocabulary: dict[str, int] = {}
-        self.items, self.seed_of = [], []
-        seeds: dict[int, list[tuple[np.ndarray, int]]] = {}
+        self.items = []
+        seeds: dict[int, list[tuple[np.ndarray, np.ndarray, int]]] = {}
         for item_id, text in items:
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text)], np.int64)
             if len(ids):
                 k = min(seed, len(ids))
-                seeds.setdefault(k, []).append((np.unique(window_hashes(ids, k)), len(self.items)))
+                seeds.setdefault(k, []).append((*np.unique(window_hashes(ids, k), return_counts=True), len(self.items)))
                 self.items.append((item_id, ids))
-                self.seed_of.append(k)
+        self.n_words = np.array([len(ids) for _, ids in self.items], np.int64)
         self.seeds = {}
         for k, parts in seeds.items():
-            h = np.concatenate([p for p, _ in parts])
-            item = np.concatenate([np.full(len(p), i) for p, i in parts])
+            h = np.concatenate([p for p, _, _ in parts])
+            times = np.concatenate([c for _, c, _ in parts])
+            item = np.concatenate([np.full(len(p), i) for p, _, i in parts])
             order = np.argsort(h, kind="stable")
-            self.seeds[k] = h[order], item[order]
+            self.seeds[k] = h[order], item[order], times[order]
 
-    def compare(self, text: str) -> Iterator[tuple[int, int, int, int]]:
-        """(item number, words, tiles, words under tiles) of every item that shares a seed."""
+    def compare(self, text: str, coverage: float = 0.0) -> Iterator[tuple[int, int, int, int]]:
+        """(item number, words, tiles, words under tiles) of every item that shares a seed and may have ``coverage``.
+
+        Items left out cannot have it: their shared seeds, each as often as the item holds it, have fewer words than that together.
+        """
         get = self.vocabulary.get
         ids = np.array([get(w, -1) for w in words(text)], np.int64)
-        for k, (hashes, items) in self.seeds.items():
+        for k, (hashes, items, times) in self.seeds.items():
             starts = free_windows(ids >= 0, k)  # a window with a word of no item is no seed
             if not len(starts):
                 continue
             h = window_hashes(ids, k)[starts]
-            lo, hi = np.searchsorted(hashes, h), np.searchsorted(hashes, h, side="right")
-            hit = np.flatnonzero(hi > lo)
-            if not len(hit):
+            values, of = np.unique(h, return_inverse=True)
+            lo, hi = np.searchsorted(hashes, values), np.searchsorted(hashes, values, side="right")
+            entry = ranges(lo, hi - lo)
+            if not len(entry):
+                continue
+            found, of_entry = np.unique(items[entry], return_inverse=True)
+            may = k * np.bincount(of_entry, times[entry]) >= coverage * self.n_words[found]
+            entry = np.sort(entry[may[of_entry]])
+            if not len(entry):
                 continue
-            n = (hi - lo)[hit]
-            place = np.repeat(starts[hit], n)
-            item = items[np.repeat(lo[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            # only the seeds of items left are looked up at their places
+            left_items = items[entry]
+            lo, hi = (np.searchsorted(hashes[entry], values, side=side)[of] for side in ("left", "right"))
+            place = np.repeat(starts, hi - lo)
+            item = left_items[ranges(lo, hi - lo)]
             order = np.argsort(item, kind="stable")
             item, place = item[order], place[order]
             cuts = np.flatnonzero(np.diff(item)) + 1
@@ -179,7 +198,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED_WORDS,
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b = shared.value
-            rows = ((doc_id, b.items[i][0], n, tiles, under, under / n) for doc_id, text in rows_of(batches) for i, n, tiles, under in b.compare(text) if under >= coverage * n)
+            rows = ((doc_id, b.items[i][0], n, tiles, under, under / n) for doc_id, text in rows_of(batches) for i, n, tiles, under in b.compare(text, coverage) if under >= coverage * n)
             yield from in_batches(rows, schema)
 
         return texts(docs).mapInArrow(run, ddl)
@@ -200,7 +219,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED_WO
 
         @F.pandas_udf("boolean")
         def covers(s, shared=shared):  # noqa: ANN001, ANN202
-            return s.map(lambda t: any(under >= coverage * n for _, n, _, under in shared.value.compare(t or "")))
+            return s.map(lambda t: any(under >= coverage * n for _, n, _, under in shared.value.compare(t or "", coverage)))
 
         out = out.withColumn(flag, covers(F.col("text").cast("string"))).where(~F.col(flag)).drop(flag)
     return out

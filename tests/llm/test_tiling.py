@@ -85,3 +85,28 @@ def test_window_hashes_agree_with_windows():
         h = tiling.window_hashes(ids, k)
         same = {(i, j) for i in range(len(h)) for j in range(len(h)) if h[i] == h[j]}
         assert same == {(i, j) for i in range(len(h)) for j in range(len(h)) if (ids[i : i + k] == ids[j : j + k]).all()}
+
+
+def test_a_seed_of_many_items_tiles_none_of_them(monkeypatch):
+    rng = random.Random(6)
+    common = "one seed held by all"
+    items = [(i, " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(20)) + f" {common} end{i}") for i in range(3000)] + [(-1, f"{common} of us here")]
+    block, tiled = tiling.Benchmark(items, 4), []
+    plain = tiling.tile
+    monkeypatch.setattr(tiling, "tile", lambda a, b, seed: tiled.append(len(a)) or plain(a, b, seed))
+    text = f"{prose(50, 3)} {common} {prose(50, 4)} {items[7][1]}"
+    got = sorted(x for x in block.compare(text, 0.6) if x[3] >= 0.6 * x[1])
+    assert len(tiled) == 2 and got == [(7, 26, 1, 26), (3000, 8, 1, 5)]
+    assert got == sorted(x for x in block.compare(text) if x[3] >= 0.6 * x[1]) and len(tiled) == 2 + len(items)
+
+
+def test_the_bound_loses_no_item():
+    rng = random.Random(7)
+    draw = [[f"w{rng.randint(0, 3)}" for _ in range(rng.randint(1, 12))] for _ in range(150)]
+    items = [(i, " ".join(w)) for i, w in enumerate(draw[:60])]
+    block = tiling.Benchmark(items, 3)
+    for words in draw[60:]:
+        text = " ".join(words)
+        for share in (0.3, 0.6, 1.0):
+            got = sorted((items[i][0], n, t, under) for i, n, t, under in block.compare(text, share) if under >= share * n)
+            assert got == sorted(x[1:5] for x in brute([(0, text)], items, 3, share))
