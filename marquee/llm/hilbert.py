@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from marquee.llm.common import fresh, ranked, table
 
 SHARDS = 16
+#: What sharding adds.
+ADDED = ("size", "text_crc32", "curve", "law", "shard", "slot")
 BITS = 5
 LAW = "rows"
 
@@ -78,27 +80,37 @@ def name_cells(df: DataFrame, name: str, cell: str, bits: int = BITS) -> DataFra
 
 def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``docs`` with ``size``, ``text_crc32``, ``curve``, ``law``, ``shard``, ``slot``; give it narrow rows, or those that shall move with their texts."""
-    rows = name_cells(name_cells(docs, "source", "_source_cell"), "lang", "_lang_cell")
-    rows = rows.withColumn("_size_cell", F.least(F.lit((1 << BITS) - 1), F.floor(F.log2("size") * F.lit(1.25))).cast("int"))
-    rows = rows.withColumn("curve", curve(F.col("_source_cell"), F.col("_lang_cell"), F.col("_size_cell"))).drop("_source_cell", "_lang_cell", "_size_cell")
-    placed = ranked(rows, F.col("curve"), F.col("text_crc32"), F.col("doc_id"), F.col("size"), name="_rank")
-    total = (placed.agg(F.max("_rank")).first()[0] or 0) + 1
-    shard = F.expr(f"(_rank * {shards}) div {total}")
-    first = F.expr(f"((_rank * {shards}) div {total} * {total} + {shards - 1}) div {shards}")
-    return placed.select(*[c for c in placed.columns if c != "_rank"], F.lit(LAW).alias("law"), shard.cast("int").alias("shard"), (F.col("_rank") - first).cast("long").alias("slot"))
-
-
-def measured(docs: DataFrame, *more: str) -> DataFrame:
+    source, lang, length, rank = (fresh(docs, c) for c in ("_source_cell", "_lang_cell", "_size_cell", "_rank"))
+    rows = name_cells(name_cells(docs, "source", source), "lang", lang)
+    rows = rows.withColumn(length, F.least(F.lit((1 << BITS) - 1), F.floor(F.log2("size") * F.lit(1.25))).cast("int"))
+    rows = rows.withColumn("curve", curve(F.col(source), F.col(lang), F.col(length))).drop(source, lang, length)
+    placed = ranked(rows, F.col("curve"), F.col("text_crc32"), F.col("doc_id"), F.col("size"), name=rank)
+    total = (placed.agg(F.max(rank)).first()[0] or 0) + 1
+    shard = F.expr(f"({rank} * {shards}) div {total}")
+    first = F.expr(f"(({rank} * {shards}) div {total} * {total} + {shards - 1}) div {shards}")
+    return placed.select(*[c for c in placed.columns if c != rank], F.lit(LAW).alias("law"), shard.cast("int").alias("shard"), (F.col(rank) - first).cast("long").alias("slot"))
+
+
+def measured(docs: DataFrame, *more: Column) -> DataFrame:
     """The columns that sharding needs, and ``more``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
                        F.crc32(text.cast("binary")).alias("text_crc32"), *more)
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """One folder for each shard, rows in slot order; other columns than text, source, lang and doc_id are left out."""
-    placed = sharded(measured(docs, "text"), shards)
-    placed.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, parts: int | None = None) -> None:
+    """One folder ``shard=<n>`` for each shard, with all columns of ``docs`` as they are and those that sharding adds.
+
+    Rows are dealt by ranges of shard and slot over ``parts`` tasks (the shuffle partitions, at least one a shard), so that a shard is several
+    files of one run of the curve each, in slot order; no task holds a shard, and a file's columns cover small ranges. A column of
+    ``docs`` that is named as one of ``ADDED`` is in the files with ``_`` before its name.
+    """
+    row = "_row"
+    placed = sharded(measured(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row)), shards)
+    kept = [F.col(f"{row}.`{c}`").alias(fresh(docs, f"_{c}") if c.lower() in ADDED else c) for c in docs.columns]
+    parts = max(shards, parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    at = placed.repartitionByRange(parts, "shard", "slot").sortWithinPartitions("shard", "slot")
+    at.select(*ADDED, *kept).write.partitionBy("shard").parquet(path)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,6 +53,49 @@ def test_written_shards(spark, docs, tmp_path):
     check_law(back.collect(), 100, 4)
 
 
+def test_written_shards_keep_all_columns(spark, docs, tmp_path):
+    more = ("shard", "size", "_row", "curve", "_source_cell", "_rank")
+    df = docs([(i % 90, f"text {i}") for i in range(400)] + [(None, None)], more=more)
+    hilbert.write_shards(df, str(tmp_path / "out"), 3, 12)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    own = ["_" + c if c in hilbert.ADDED else c for c in df.columns]
+    assert sorted(back.columns) == sorted([*own, *hilbert.ADDED])
+    assert sorted(map(tuple, map(str, back.select(*own).toDF(*df.columns).collect()))) == sorted(map(tuple, map(str, df.collect())))
+    files = back.select("shard", F.input_file_name().alias("f")).distinct().groupBy("shard").count().collect()
+    assert len(files) == 3 and all(r["count"] > 1 for r in files)
+
+
+def walk(bits):
+    """The place of each cell on the curve."""
+    grid = np.array(list(itertools.product(range(1 << bits), repeat=3)))
+    index = hilbert.curve_index(list(grid.T), bits)
+    return {tuple(c): int(i) for c, i in zip(grid.tolist(), index, strict=True)}
+
+
+def test_table_equals_brute_force(docs, edge_pairs):
+    pairs = edge_pairs + [(i, "word " * (i % 53)) for i in range(100, 400)]
+    df = docs(pairs)
+    given = df.collect()
+    cells, place = walk(hilbert.BITS), {}
+    for name in ("source", "lang"):
+        names = sorted({r[name] or "" for r in given})
+        place[name] = {x: (1 << hilbert.BITS) * k // len(names) for k, x in enumerate(names)}
+    plain = []
+    for r in given:
+        data = (r.text or "").encode()
+        size = len(data) + 1
+        cell = (place["source"][r.source or ""], place["lang"][r.lang or ""], min(31, int(np.floor(np.log2(size) * 1.25))))
+        plain.append((cells[cell], zlib.crc32(data), -(2**70) if r.doc_id is None else r.doc_id, size))
+    plain.sort()
+    n, want, last = len(plain), [], {}
+    for rank, (at, crc, doc_id, size) in enumerate(plain):
+        shard = rank * 16 // n
+        last[shard] = last.get(shard, -1) + 1
+        want.append((shard, last[shard], at, crc, size, doc_id))
+    got = sorted((r.shard, r.slot, r["curve"], r.text_crc32, r.size, -(2**70) if r.doc_id is None else r.doc_id) for r in hilbert.sharded(hilbert.measured(df)).collect())
+    assert got == want
+
+
 def test_ranks_are_gapless(spark):
     df = spark.range(1000).select((F.col("id") % 10).alias("k"), "id")
     got = sorted((r.at, r.k, r.id) for r in ranked(df, F.desc("k"), F.col("id"), name="at").collect())
