@@ -208,7 +208,7 @@ def write(run: Run, out: str) -> dict[str, int]:
     audit.run_header(p, run.totals).write.mode("overwrite").parquet(f"{out}/totals")
     publish.rss_feed(run.deduped, "Listings", "").write.mode("overwrite").text(f"{out}/rss")
     publish.by_day(run.deduped).write.mode("overwrite").parquet(f"{out}/by_day")
-    publish.page_body(run.deduped).write.mode("overwrite").text(f"{out}/page")
+    publish.page(p, run.totals, audit.source_health(run.audit), run.deduped, "Listings").write.mode("overwrite").text(f"{out}/page")
     publish.text_summary(run.deduped).write.mode("overwrite").text(f"{out}/summary")
     publish.run_log(p, run.totals, run.audit, run.deduped).write.mode("overwrite").text(f"{out}/log")
     publish.json_feed(p, run.deduped).write.mode("overwrite").text(f"{out}/feed")

@@ -85,6 +85,7 @@ def parts(venue: str, spread: int) -> str:
 
 ORACLES["listing_dedup"] = fold(DOCS, f"date BETWEEN {BASE} AND {plus('7')}")
 ORACLES["dedup_parts"] = fold(parts("p_brand", 8))
+ORACLES["windowed_dedup"] = fold(parts("p_brand", 12), f"date BETWEEN {BASE} AND {plus('7')}")
 ORACLES["dedup_crowded"] = fold(parts("p_type", 1))
 
 
@@ -241,6 +242,13 @@ ORDERS = """SELECT 'Order ' || o_orderkey AS artist, o_orderpriority AS venue, o
  o_orderstatus AS source, CASE WHEN o_orderstatus = 'O' THEN 'http://x' END AS url, o_orderkey AS slot FROM orders"""
 ORACLES["page_body"] = f"""SELECT {page_line()} AS line FROM ({ORDERS}) UNION ALL SELECT '<div class="day-section"><h2>' || {HEADING.format('date')} || '</h2><ul>' FROM (SELECT DISTINCT date FROM ({ORDERS}))
  UNION ALL SELECT '</ul></div>' FROM (SELECT DISTINCT date FROM ({ORDERS}))"""
+ORACLES["page_document"] = f"""WITH t AS ({totals(ORDERS)}), h AS ({ORACLES["source_health"]})
+ SELECT unnest(['<!DOCTYPE html><html lang="en"><head><meta charset="UTF-8">', '<title>Orders &amp; more — Next 8 Days</title></head><body><header>', '<h1>ORDERS &amp; MORE</h1>',
+ '<div class="updated">Updated January 10, 2024 at 6:00 AM CST</div>', '<div class="summary">' || total_deduped_events || ' shows over the next 8 days</div></header><main>',
+ '</main><footer><div class="source-summary">' || summary || '</div>', '<details class="source-status"><summary>Source Details</summary><table class="source-table">',
+ '<thead><tr><th></th><th>Source</th><th class="src-count">Events</th></tr></thead><tbody>', '</tbody></table></details>', 'Compiled daily<br>Last built January 10, 2024 at 6:00 AM CST', '</footer></body></html>']) AS line FROM t
+ UNION ALL SELECT '<tr class="' || css_class || '"><td class="src-dot">&#x25CF;</td><td>' || source_name || '</td><td class="src-count">' || shown_count || '</td></tr>' FROM h
+ UNION ALL {ORACLES["page_body"]}"""
 ORACLES["text_summary"] = f"SELECT '  ' || {display()} AS line FROM ({ORDERS}) UNION ALL SELECT '━━━ ' || {HEADING.format('date')} || ' ━━━' FROM (SELECT DISTINCT date FROM ({ORDERS}))"
 _FIRST = "CASE WHEN row_number() OVER (ORDER BY date, lower(venue), lower(artist), slot) = 1 THEN '' ELSE ',' END"
 ORACLES["run_log"] = f"""WITH t AS ({totals(ORDERS)}), s AS (SELECT list({{'name': source_name, 'success': success, 'events_found': events_found, 'events_after_filter': events_after_filter,

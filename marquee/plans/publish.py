@@ -36,8 +36,8 @@ def _day_rows(deduped: DataFrame, kind: int, line: Column) -> DataFrame:
         F.lit(0).cast("long").alias("slot"), line.alias("line"))
 
 
-def page_body(deduped: DataFrame) -> DataFrame:
-    """Lines of the published page body, in order; the no-events line when there are none."""
+def _body_lines(deduped: DataFrame) -> DataFrame:
+    """Lines of the days of the page with their place; the no-events line when there are none."""
     day = F.col("date")
     open_ = F.concat(F.lit('<div class="day-section"><h2>'), day_heading(day), F.lit("</h2><ul>"))
     item = page_line(F.col("artist"), F.col("venue"), F.col("time"), F.col("url"))
@@ -46,7 +46,45 @@ def page_body(deduped: DataFrame) -> DataFrame:
     none = (deduped.agg(F.count("*").alias("n")).where("n = 0").select(
         F.lit(None).cast("date").alias("date"), F.lit(0).alias("kind"), F.lit("").alias("v"), F.lit("").alias("a"),
         F.lit(0).cast("long").alias("slot"), F.lit(EMPTY_PAGE).alias("line")))
-    return _ordered(lines.unionByName(none))
+    return lines.unionByName(none)
+
+
+def page_body(deduped: DataFrame) -> DataFrame:
+    """Lines of the published page body, in order."""
+    return _ordered(_body_lines(deduped))
+
+
+def shows_line(total: Column, days: int) -> Column:
+    """The header's count of listings."""
+    return F.concat(total.cast("string"), F.lit(" show"), F.when(total == 1, "").otherwise("s"), F.lit(f" over the next {days} days"))
+
+
+def page(p: RunParams, totals: DataFrame, health: DataFrame, deduped: DataFrame, name: str, credit: str = "") -> DataFrame:
+    """Lines of the whole published page, in order: title and counts, the days, then the sources and the stamp.
+
+    ``totals`` is the row of ``audit.run_totals``, ``health`` the rows of ``audit.source_health``; ``name`` and ``credit`` are plain texts. Head and foot
+    are lines of one row of totals and of the source dimension, sorted together with the listings; nothing is gathered.
+    """
+    days = p.horizon_days + 1
+    stamp = local_stamp(F.lit(p.run_ts).cast("timestamp_ntz"))
+    fixed = [(0, '<!DOCTYPE html><html lang="en"><head><meta charset="UTF-8">'),
+             (0, F.concat(F.lit("<title>"), html_escape(F.lit(name)), F.lit(f" — Next {days} Days</title></head><body><header>"))),
+             (0, F.concat(F.lit("<h1>"), html_escape(F.lit(name.upper())), F.lit("</h1>"))),
+             (0, F.concat(F.lit('<div class="updated">Updated '), stamp, F.lit("</div>"))),
+             (0, F.concat(F.lit('<div class="summary">'), shows_line(F.col("total_deduped_events"), days), F.lit("</div></header><main>"))),
+             (2, F.concat(F.lit('</main><footer><div class="source-summary">'), F.col("summary"), F.lit("</div>"))),
+             (2, '<details class="source-status"><summary>Source Details</summary><table class="source-table">'),
+             (2, '<thead><tr><th></th><th>Source</th><th class="src-count">Events</th></tr></thead><tbody>'),
+             (4, "</tbody></table></details>"),
+             (4, F.concat(html_escape(F.lit(credit)), F.lit("<br>Last built "), stamp)),
+             (4, "</footer></body></html>")]
+    edge = totals.select(F.explode(F.array(*[
+        F.struct(F.lit(part).alias("part"), F.lit(i).cast("long").alias("at"), (F.lit(x) if isinstance(x, str) else x).alias("line")) for i, (part, x) in enumerate(fixed)])).alias("e")).select("e.*")
+    source = F.concat(F.lit('<tr class="'), F.col("css_class"), F.lit('"><td class="src-dot">&#x25CF;</td><td>'), F.col("source_name"), F.lit('</td><td class="src-count">'), F.col("shown_count"), F.lit("</td></tr>"))
+    sources = health.select(F.lit(3).alias("part"), F.col("source_rank").cast("long").alias("at"), source.alias("line"))
+    body = _body_lines(deduped).withColumn("part", F.lit(1)).withColumn("at", F.lit(0).cast("long"))
+    lines = body.unionByName(edge.unionByName(sources), allowMissingColumns=True)
+    return lines.orderBy("part", "at", "date", "kind", "v", "a", "slot").select("line")
 
 
 def text_summary(deduped: DataFrame) -> DataFrame:

@@ -88,6 +88,12 @@ def dedup_parts(spark, sf):
     return _survivors(dedup.deduplicate(part_listing(spark, sf, "p_brand", 8)))
 
 
+@query
+def windowed_dedup(spark, sf):
+    """A third of the dates lie outside the window."""
+    return _survivors(dedup.deduplicate(part_listing(spark, sf, "p_brand", 12).where(rules.in_window(F.col("date"), P))))
+
+
 @query
 def dedup_crowded(spark, sf):
     """The same result for blocks treated as too large to gather: one date, few venues."""
@@ -363,6 +369,14 @@ def page_body(spark, sf):
     return publish.page_body(order_listing(spark, sf))
 
 
+@query
+def page_document(spark, sf):
+    """The whole page: title, counts, days, sources."""
+    a = event_audit(spark, sf)
+    listing = order_listing(spark, sf)
+    return publish.page(AUDIT_WINDOW, audit.run_totals(a, listing), audit.source_health(a), listing, "Orders & more", "Compiled daily")
+
+
 @query
 def text_summary(spark, sf):
     return publish.text_summary(order_listing(spark, sf))

@@ -130,6 +130,11 @@ def test_whole_run(spark, landed, tmp_path):
     page = "".join(p.read_text() for p in sorted((out / "page").glob("part-*")))
     assert page.count("<li>") == 7 and page.index("MONDAY, FEBRUARY 16") < page.index("TUESDAY, FEBRUARY 17")
     assert run.totals.first().summary == "7 events from 4 sources (2 had errors)"
+    marks = ["<title>Listings — Next 8 Days</title>", "<h1>LISTINGS</h1>", "Updated February 14, 2026 at 11:58 PM CST", ">7 shows over the next 8 days<", "<main>",
+             '<div class="day-section">', "</main>", ">7 events from 4 sources (2 had errors)<", "<tbody>", "</tbody>", "Last built February 14, 2026 at 11:58 PM CST", "</html>"]
+    at = [page.index(m) for m in marks]
+    assert at == sorted(at) and page.startswith("<!DOCTYPE html>") and page.endswith("</footer></body></html>\n")
+    assert page.count('<tr class="src-') == len(audit) and page.count('<tr class="src-error">') == 2 and '<td class="src-count">—</td>' in page
     # the log read back as tables
     (out / "log.json").write_text(json.dumps(log))
     back = runlog.read_run_log(spark, str(out / "log.json"))
@@ -144,6 +149,10 @@ def test_nothing_configured(spark):
                     config.ARTIFACTS: (True, config.MSG_NO_ARTIFACT_DIR)}
     from marquee.plans import publish
     assert [r.line for r in publish.page_body(run.deduped).collect()] == [publish.EMPTY_PAGE]
+    from marquee.operators import audit
+    page = [r.line for r in publish.page(P, run.totals, audit.source_health(run.audit), run.deduped, "A & B", "<c>").collect()]
+    assert page[1] == "<title>A &amp; B — Next 8 Days</title></head><body><header>" and page[4] == '<div class="summary">0 shows over the next 8 days</div></header><main>'
+    assert page[5] == publish.EMPTY_PAGE and [x[:16] for x in page[9:12]] == ['<tr class="src-e', '<tr class="src-w', '<tr class="src-w'] and page[13].startswith("&lt;c&gt;<br>")
 
 
 def test_incremental_equals_whole(spark, tmp_path):
