@@ -48,11 +48,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Most rows of a task, on average, of a table that ``spread`` deals out.
+SPREAD_ROWS = 50_000
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least as many partitions as there are cores.
+    """``df`` over at least as many partitions as there are cores, and one for each ``SPREAD_ROWS`` rows.
 
-    For work that is heavy per row (page and JSON extraction, long texts) on an input of few splits, where moving the
-    rows costs less than leaving cores idle. An input with enough splits is returned as it is, without a shuffle.
+    For work that is heavy per row (page and JSON extraction, long texts), where moving the rows costs less than leaving cores idle: splits are cut by
+    compressed bytes, so that one of narrow rows holds very many. An input with enough splits is returned as it is, without a shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    have, cores = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
+    need = max(cores, -(-df.count() // SPREAD_ROWS))
+    return df if have >= need else df.repartition(need)
