@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.session import cut
 
+#: Edges that a task holds at once, and that a task reads at least, where the edges are few for the number of partitions.
+HELD = 1 << 20
 
 #: Fewest edges of a hub, and most hubs: a node is one from ``max(HUB, 2 * edges / HUBS)`` edges on, so that their list is short at every size.
 HUB, HUBS = 256, 1 << 16
@@ -24,26 +30,80 @@ def hung(edges: DataFrame, n_edges: int) -> DataFrame:
     return dealt.join(least.select("u", "m", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), ["u", "part"]).select("u", "v", "m")
 
 
+class Union:
+    """Disjoint sets of array positions; a set's root is its smallest position."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def roots(self, x: np.ndarray) -> np.ndarray:
+        up = self.up
+        while not np.array_equal(up, up[up]):
+            up = up[up]
+        self.up = up
+        return up[x]
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        while len(a):
+            a, b = self.roots(a), self.roots(b)
+            differ = a != b
+            a, b = a[differ], b[differ]
+            np.minimum.at(self.up, np.maximum(a, b), np.minimum(a, b))
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges ``u``, ``v`` as stars: some ``HELD`` at a time, each node of theirs on the smallest node that they link it to. Edges of one ``u`` in a row stay together."""
+
+    def star(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+        sets = Union(len(nodes))
+        sets.link(place[: len(u)], place[len(u) :])
+        root = sets.roots(np.arange(len(nodes)))
+        hung = root != np.arange(len(nodes))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[hung]), pa.array(nodes[root[hung]])], ["u", "v"])
+
+    held, size = [], 0
+    for batch in batches:
+        held.append([np.asarray(c) for c in batch.columns])
+        size += batch.num_rows
+        if size > HELD:
+            u, v = (np.concatenate(x) for x in zip(*held, strict=True))
+            other = np.flatnonzero(u != u[-1])
+            end = int(other[-1]) + 1 if len(other) else 0
+            if end:
+                yield star(u[:end], v[:end])
+            held, size = [[u[end:], v[end:]]], len(u) - end
+    if size:
+        yield star(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """A graph of the same components as ``edges`` (``u``, ``v``), all smaller neighbours of a node among those on one star; materialised.
+
+    Before the shuffle a task has each node once, so that no node brings more rows to one task than there are tasks.
+    """
+    schema = "u long, v long"
+    return cut(edges.mapInArrow(_stars, schema).repartition("u").sortWithinPartitions("u").mapInArrow(_stars, schema))
+
+
 def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     """``node``, ``root`` (the smallest node reachable) for every node that has an edge; nodes are numbers.
 
     Rounds of alternating stars: every node's neighbours are hung on the smallest of them, first the larger neighbours, then the
-    smaller ones. A round halves distances roughly, so that long chains take logarithmically many rounds; the smallest
+    smaller ones, these with all edges of a task at once. A round halves distances at least roughly, so that long chains take logarithmically many rounds; the smallest
     neighbour is a partial aggregate and the edges of a hub are dealt over tasks, so that a hub with millions of edges is never
     gathered. Rounds end when the edges stay the same, seen by their number and the sum of their hashes. Each round is cut off in
-    the checkpoint folder, for recovery.
+    the checkpoint folder, for recovery, and read by as many tasks as its edges are worth: each task of a shuffle leaves files, however few its rows.
     """
-    e = cut(edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u > v").distinct())
-    before = None
+    e = stars(edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u > v"))
+    cores, before = e.sparkSession.sparkContext.defaultParallelism, None
     while True:
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        now = tuple(e.coalesce(cores).agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        e = e.coalesce(max(cores, -(-now[0] // HELD)))
         if now == before:
             break
         before = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = hung(both, now[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        small = hung(large, now[0])
-        e = cut(small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-                .select("x.u", "x.v").where("u > v").distinct())
+        e = stars(hung(both, now[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

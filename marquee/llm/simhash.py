@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.llm.common import fresh, in_batches, rows_of, table, texts
-from marquee.llm.components import components
+from marquee.llm.components import Union, components
 from marquee.session import cut
 
 BITS = 64
@@ -125,27 +125,6 @@ class Forest:
                     stack.append((q[ok][found], below[found]))
 
 
-class Union:
-    """Disjoint sets of array positions; a set's root is its smallest position."""
-
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def roots(self, x: np.ndarray) -> np.ndarray:
-        up = self.up
-        while not np.array_equal(up, up[up]):
-            up = up[up]
-        self.up = up
-        return up[x]
-
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        while len(a):
-            a, b = self.roots(a), self.roots(b)
-            differ = a != b
-            a, b = a[differ], b[differ]
-            np.minimum.at(self.up, np.maximum(a, b), np.minimum(a, b))
-
-
 def forest_links(rows: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], radius: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """A spanning forest of the links in each group of shards. Rows: shard, fingerprint, role (1 tree, 2 query, 3 both)."""
     for shard, fp, role in rows:
