@@ -60,35 +60,47 @@ def structured_event(item: Column, default_venue: Column | None, date_time: Colu
     ``date_time``: whether a bare date gets a time (midnight). Where it does not, only ``yyyy-m-d`` or a stamp
     with ``T`` is a date.
     """
-    name, start = _field(item, "$.name"), _field(item, "$.startDate")
-    place = _field(item, "$.location.name")
-    name_text = text.squeeze_ends(F.try_variant_get(item, "$.name", "string"))
-    start_text = F.replace(F.try_variant_get(item, "$.startDate", "string"), F.lit("Z"), F.lit("+00:00"))
-    place_text = F.try_variant_get(item, "$.location.name", "string")
+    found = F.struct(_field(item, "$.name").alias("name"), _field(item, "$.startDate").alias("start"), _field(item, "$.location.name").alias("place"))
     typed = F.coalesce(F.try_variant_get(item, "$[\"@type\"]", "string").isin(EVENT_TYPES)
                        & _is_text(_field(item, "$[\"@type\"]")), F.lit(False))
-    stamped = F.contains(start_text, F.lit("T"))
-    day = F.when(date_time | stamped, dates.iso_date(start_text)).otherwise(dates.strict_day(start_text))
-    time = F.when(date_time | stamped, dates.iso_clock(start_text))
-    has_place = _is_text(place) & (place_text != "")
-    if default_venue is None:
-        venue = F.when(has_place, canonical_venue(place_text)).otherwise(F.lit(config.VENUE_TBA))
-    else:
-        venue = (F.when(has_place, canonical_venue(place_text)).when(default_venue.isNotNull(), default_venue)
-                 .otherwise(F.lit(config.VENUE_TBA)))
-    url = F.try_variant_get(item, "$.url", "string")
-    ok = typed & _is_text(name) & (name_text != "") & _is_text(start) & day.isNotNull()
-    bad = typed & ((name.isNotNull() & ~_is_text(name))
-                   | (_is_text(name) & (name_text != "") & start.isNotNull() & ~_is_text(start))
-                   | (place.isNotNull() & ~_is_text(place) & day.isNotNull()))
-    return F.struct(F.when(ok & ~bad, _event(name_text, venue, day, time, url)).alias("event"), bad.alias("stop"))
+
+    # each made once, and only for what is typed: in a lambda every reference is worked out anew
+    def values(f: Column) -> Column:
+        start_text = F.replace(F.try_variant_get(f["start"], "$", "string"), F.lit("Z"), F.lit("+00:00"))
+
+        def dated(t: Column) -> Column:
+            stamped = date_time | F.contains(t, F.lit("T"))
+            return F.struct(F.when(stamped, dates.iso_date(t)).otherwise(dates.strict_day(t)).alias("day"), F.when(stamped, dates.iso_clock(t)).alias("time"))
+
+        return F.struct(
+            text.squeeze_ends(F.try_variant_get(f["name"], "$", "string")).alias("name"), F.try_variant_get(f["place"], "$", "string").alias("place"), text.let(start_text, dated).alias("at"),
+            f["name"].isNotNull().alias("has_name"), _is_text(f["name"]).alias("is_name"), f["start"].isNotNull().alias("has_start"), _is_text(f["start"]).alias("is_start"),
+            f["place"].isNotNull().alias("has_place"), _is_text(f["place"]).alias("is_place"))
+
+    def judged(v: Column) -> Column:
+        day = v["at"]["day"]
+        placed = v["is_place"] & (v["place"] != "")
+        venue = F.when(placed, canonical_venue(v["place"]))
+        if default_venue is not None:
+            venue = venue.when(default_venue.isNotNull(), default_venue)
+        named = v["is_name"] & (v["name"] != "")
+        ok = named & v["is_start"] & day.isNotNull()
+        bad = (v["has_name"] & ~v["is_name"]) | (named & v["has_start"] & ~v["is_start"]) | (v["has_place"] & ~v["is_place"] & day.isNotNull())
+        url = F.try_variant_get(item, "$.url", "string")
+        return F.struct(F.when(ok & ~bad, _event(v["name"], venue.otherwise(F.lit(config.VENUE_TBA)), day, v["at"]["time"], url)).alias("event"), bad.alias("stop"))
+
+    nothing = F.struct(F.lit(None).cast(EVENT).alias("event"), F.lit(False).alias("stop"))
+    return F.when(typed, text.let(text.let(found, values), judged)).otherwise(nothing)
 
 
 def _usable(results: Column) -> Column:
     """Events before the first stop."""
-    at = F.array_position(F.transform(results, lambda r: r["stop"]), True)
-    taken = F.when(at > 0, F.slice(results, F.lit(1), at.cast("int") - 1)).otherwise(results)
-    return F.transform(F.filter(taken, lambda r: r["event"].isNotNull()), lambda r: r["event"])
+    def before(rs: Column) -> Column:
+        at = F.array_position(F.transform(rs, lambda r: r["stop"]), True)
+        return F.when(at > 0, F.slice(rs, F.lit(1), at.cast("int") - 1)).otherwise(rs)
+
+    # the results are made once, not for the stop and for the events
+    return F.transform(F.filter(text.let(results, before), lambda r: r["event"].isNotNull()), lambda r: r["event"])
 
 
 def jsonld_events(html: Column, default_venue: Column | None, graph: Column, date_time: Column) -> Column:
@@ -116,20 +128,23 @@ def walk_json(source: Column, depth: int = 10) -> Column:
     members a map reads in order. Text that is no JSON gives one null node.
     """
     def children(node: Column) -> Column:
-        many = F.try_variant_get(node["v"], "$", "array<variant>")
-        members = F.try_variant_get(node["v"], "$", "map<string,variant>")
-
         def place(i: Column) -> Column:
             return F.concat(node["path"], F.lpad(i.cast("string"), 8, "0"), F.lit(".")).alias("path")
 
-        named = F.transform(F.map_entries(F.from_json(node["raw"], "map<string,string>")), lambda m, i: F.struct(
-            place(i), F.element_at(members, m["key"]).alias("v"), m["value"].alias("raw")))
-        listed = text.let(F.from_json(node["raw"], "array<string>"), lambda raws: F.transform(many, lambda k, i: F.struct(
-            place(i), k.alias("v"), F.get(raws, i).alias("raw"))))
-        return F.when(many.isNotNull(), listed).when(members.isNotNull(), named).otherwise(F.array().cast(NODES))
+        def named(members: Column) -> Column:
+            return F.transform(F.map_entries(F.from_json(node["raw"], "map<string,string>")), lambda m, i: F.struct(
+                place(i), F.element_at(members, m["key"]).alias("v"), m["value"].alias("raw")))
+
+        def listed(many: Column) -> Column:
+            return text.let(F.from_json(node["raw"], "array<string>"), lambda raws: F.transform(many, lambda k, i: F.struct(
+                place(i), k.alias("v"), F.get(raws, i).alias("raw"))))
+
+        # extracted once for all members of a node
+        none = F.array().cast(NODES)
+        return text.let(F.try_variant_get(node["v"], "$", "array<variant>"), lambda many: F.when(many.isNotNull(), listed(many)).otherwise(
+            text.let(F.try_variant_get(node["v"], "$", "map<string,variant>"), lambda members: F.when(members.isNotNull(), named(members)).otherwise(none))))
 
     start = F.array(F.struct(F.lit("").alias("path"), F.try_parse_json(source).alias("v"), source.alias("raw"))).cast(NODES)
-    acc = F.struct(start.alias("seen"), start.alias("edge"))
 
     def down(a: Column, _: Column) -> Column:
         return text.let(F.flatten(F.transform(a["edge"], children)).cast(NODES), lambda nxt: F.struct(F.concat(a["seen"], nxt).alias("seen"), nxt.alias("edge")))
@@ -138,20 +153,22 @@ def walk_json(source: Column, depth: int = 10) -> Column:
         keys = F.array_sort(F.transform(seen, lambda n, i: F.struct(n["path"].alias("path"), i.alias("i"))))
         return F.transform(keys, lambda k: F.get(seen, k["i"]))
 
-    return text.let(F.aggregate(F.sequence(F.lit(1), F.lit(depth)), acc, down)["seen"], in_order)
+    def levels(first: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.struct(first.alias("seen"), first.alias("edge")), down)["seen"]
+
+    return text.let(text.let(start, levels), in_order)
 
 
 def page_state_events(html: Column) -> Column:
     """Events anywhere in a page's embedded state: objects with a name and a date that are also typed events."""
-    state = F.regexp_extract(html, markup.SCRIPT_STATE, 1)
-
     def is_candidate(node: Column) -> Column:
         v = node["v"]
         return _field(v, "$.name").isNotNull() & (_field(v, "$.startDate").isNotNull() | _field(v, "$.date").isNotNull())
 
-    nodes = F.filter(walk_json(state), is_candidate)
-    found = _usable(F.transform(nodes, lambda n: structured_event(n["v"], None, F.lit(True))))
-    return F.when(F.contains(html, F.lit("__NEXT_DATA__")) & F.try_parse_json(state).isNotNull(), found).otherwise(_no_events())
+    def found(state: Column) -> Column:
+        return text.let(walk_json(state), lambda seen: F.when(F.get(seen, F.lit(0))["v"].isNotNull(), _usable(F.transform(F.filter(seen, is_candidate), lambda n: structured_event(n["v"], None, F.lit(True))))))
+
+    return F.when(F.contains(html, F.lit("__NEXT_DATA__")), F.coalesce(text.let(F.regexp_extract(html, markup.SCRIPT_STATE, 1), found), _no_events())).otherwise(_no_events())
 
 
 def saved_city_events(links: Column, year: int) -> Column:
