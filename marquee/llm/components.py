@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.session import cut
@@ -18,16 +18,28 @@ HELD = 1 << 20
 HUB, HUBS = 256, 1 << 16
 
 
-def hung(edges: DataFrame, n_edges: int) -> DataFrame:
-    """``edges`` (``u``, ``v``) with ``m``, the smallest of each ``u`` and its ``v``.
+def parts(n_edges: int) -> Column:
+    """Over how many tasks the edges of one group are dealt."""
+    return F.ceil(F.count(F.lit(1)) / max(HUB, 2 * n_edges // HUBS)).cast("int").alias("parts")
+
+
+def dealt(edges: DataFrame, named: DataFrame) -> DataFrame:
+    """``edges`` (``u``, ``v``) with the ``m`` that ``named`` (``u``, ``m``, ``parts``) has for ``u``.
 
-    A hub's edges are dealt over several tasks by their other end, and its minimum is sent to each; at most ``HUBS`` numbers are broadcast.
+    A hub's edges are dealt over several tasks by their other end, and its ``m`` is sent to each; at most ``HUBS`` numbers are broadcast.
     """
-    size = max(HUB, 2 * n_edges // HUBS)
-    least = edges.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.ceil(F.count(F.lit(1)) / size).cast("int").alias("parts"))
-    hubs = F.broadcast(least.where("parts > 1").select("u", "parts"))
-    dealt = edges.join(hubs, "u", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("v"), "parts").cast("int"), F.lit(0))).select("u", "v", "part")
-    return dealt.join(least.select("u", "m", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), ["u", "part"]).select("u", "v", "m")
+    hubs = F.broadcast(named.where("parts > 1").select("u", "parts"))
+    some = edges.join(hubs, "u", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("v"), "parts").cast("int"), F.lit(0))).select("u", "v", "part")
+    return some.join(named.select("u", "m", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), ["u", "part"]).select("u", "v", "m")
+
+
+def both(edges: DataFrame) -> DataFrame:
+    return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+
+def hung(edges: DataFrame, n_edges: int) -> DataFrame:
+    """``edges`` (``u``, ``v``) with ``m``, the smallest of each ``u`` and its ``v``."""
+    return dealt(edges, edges.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), parts(n_edges)))
 
 
 class Union:
@@ -86,24 +98,40 @@ def stars(edges: DataFrame) -> DataFrame:
     return cut(edges.mapInArrow(_stars, schema).repartition("u").sortWithinPartitions("u").mapInArrow(_stars, schema))
 
 
+def leaves(edges: DataFrame) -> DataFrame:
+    """The different ``edges`` (``u``, ``v``) with ``leaf``: ``v``, a smaller node, is all that ``u`` is linked to."""
+    ends = both(edges).groupBy("u").agg(((F.min("v") == F.max("v")) & (F.max("v") < F.col("u"))).alias("leaf"))
+    return edges.repartition("u").dropDuplicates(["u", "v"]).join(ends, "u").select("u", "v", "leaf")
+
+
 def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     """``node``, ``root`` (the smallest node reachable) for every node that has an edge; nodes are numbers.
 
     Rounds of alternating stars: every node's neighbours are hung on the smallest of them, first the larger neighbours, then the
     smaller ones, these with all edges of a task at once. A round halves distances at least roughly, so that long chains take logarithmically many rounds; the smallest
     neighbour is a partial aggregate and the edges of a hub are dealt over tasks, so that a hub with millions of edges is never
-    gathered. Rounds end when the edges stay the same, seen by their number and the sum of their hashes. Each round is cut off in
-    the checkpoint folder, for recovery, and read by as many tasks as its edges are worth: each task of a shuffle leaves files, however few its rows.
+    gathered. Nodes that are linked to one smaller node alone leave the graph, and with them every component that is one star: a round works on the
+    edges that are still open, not on all. Rounds end when there are none; nodes that have left then get the root of the node they were linked to, the last first.
+    Each round is cut off in the checkpoint folder, for recovery, and read by as many tasks as its edges are worth: each task of a shuffle leaves files, however few its rows.
     """
     e = stars(edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u > v"))
-    cores, before = e.sparkSession.sparkContext.defaultParallelism, None
+    cores = e.sparkSession.sparkContext.defaultParallelism
+
+    def few(df: DataFrame, n: int) -> DataFrame:
+        return df.coalesce(max(cores, -(-n // HELD)))
+
+    n, left = e.coalesce(cores).count(), []
     while True:
-        now = tuple(e.coalesce(cores).agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        e = e.coalesce(max(cores, -(-now[0] // HELD)))
-        if now == before:
+        marked = few(cut(few(leaves(few(e, n)), n)), n)
+        left.append((marked.where("leaf").select("u", "v"), n))
+        e = marked.where("not leaf").select("u", "v")
+        n = e.count()
+        if not n:
             break
-        before = now
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        e = stars(hung(both, now[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+        e = stars(hung(both(e), n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+    roots = left.pop()[0].select(F.col("u").alias("node"), F.col("v").alias("root"))
+    for gone, n in reversed(left):
+        held = gone.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        named = held.groupBy("u").agg(parts(n)).join(roots, F.col("u") == F.col("node"), "left").select("u", F.coalesce("root", "u").alias("m"), "parts")
+        roots = few(cut(few(roots.unionByName(dealt(held, named).select(F.col("v").alias("node"), F.col("m").alias("root"))), n)), n)
+    return roots.unionByName(roots.select("root", "root").distinct().toDF("node", "root"))
