@@ -5,9 +5,9 @@ or bracketed signs in addresses, numbers without a plus, unusual separators. It
 digit groups, check sum, words before it); a dynamic program over the words around a candidate, with entities of at most ``LONGEST`` words, chooses
 boundaries and types jointly. Words far from any candidate can only be outside an entity, so they need no work.
 
-Weights are trained by gradient steps on the log-likelihood, over windows of at most ``SAMPLE_DOCS`` texts (those of least hash), of which
-at most ``SAMPLE_WINDOWS`` are used: base spans are the positives, also rewritten in forms that the patterns miss; numbers that fail the
-checks, and dates, sums and versions put in a span's place, are the negatives. Finding spans needs one text and the weights: nothing is shuffled.
+Weights are trained by gradient steps on the log-likelihood, over windows of all texts: base spans are the positives, also rewritten in forms that the patterns miss; numbers that fail the
+checks, and dates, sums and versions put in a span's place, are the negatives. Of each kind, and of windows without a span, those of least hash are used, at most ``KIND_WINDOWS``, so that
+a rare kind is learned wherever it is. Finding spans needs one text and the weights: nothing is shuffled.
 
 Defined cases: a null text is the empty one and has no spans; base spans stay as they are, added ones never overlap them;
 repeated rows come back as often; without any base span to learn from nothing is added.
@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.llm.common import fresh, in_batches, rows_of, table, texts
+from marquee.session import cut
 
 KINDS = ("email", "ip", "card", "phone")
 LONGEST = 40
-SAMPLE_DOCS = 4_000
-SAMPLE_WINDOWS = 1_200
+KIND_WINDOWS = 600
 BEFORE, AFTER = 48, 24
 LONGEST_WORD = 256
 
@@ -314,16 +314,15 @@ def train(rows: list[tuple[str, int, int, str]], rounds: int = 6) -> dict[str, f
 
 
 def fit(docs: DataFrame) -> dict[str, float]:
-    """Weights from windows of a bounded sample of texts."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    some = texts(docs).join(F.broadcast(ids), "doc_id")  # at most SAMPLE_DOCS ids
+    """Weights from the windows of all texts, a bounded number of each kind."""
     schema = pa.schema([("text", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from in_batches((e for _, text in rows_of(batches) for e in examples(text)), schema)
 
-    found = some.mapInArrow(run, "text string, start int, stop int, kind string").distinct().orderBy(F.xxhash64("text"), "text", "start").limit(SAMPLE_WINDOWS)
-    return train([tuple(r) for r in found.collect()])
+    found = cut(texts(docs).mapInArrow(run, "text string, start int, stop int, kind string").distinct()).withColumn("h", F.xxhash64("text"))
+    rows = [r for kind in ("", *KINDS) for r in found.where(F.col("kind") == kind).orderBy("h", "text", "start").limit(KIND_WINDOWS).collect()]
+    return train([(r.text, r.start, r.stop, r.kind) for r in sorted(rows, key=lambda r: (r.h, r.text, r.start))])
 
 
 def find(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
